@@ -12,6 +12,12 @@ from tessera.llm.common import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.warc import pages_through_warc
+
+    return pages_through_warc(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "intact")
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.mixing import mix_sources
 
@@ -26,6 +32,7 @@ def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op3_warc": op3_warc,
     "op7_mix_sources": op7_mix_sources,
     "op8_shard": op8_shard,
 }
