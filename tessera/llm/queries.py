@@ -18,6 +18,12 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages_through_warc(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "intact")
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.simhash import simhash_groups
+
+    return simhash_groups(table(spark, sf_dir, "documents")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.mixing import mix_sources
 
@@ -33,6 +39,7 @@ def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op3_warc": op3_warc,
+    "op4_simhash": op4_simhash,
     "op7_mix_sources": op7_mix_sources,
     "op8_shard": op8_shard,
 }
