@@ -24,6 +24,14 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tessera.llm.bpe import load, round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), load(public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.mixing import mix_sources
 
@@ -40,6 +48,7 @@ def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op3_warc": op3_warc,
     "op4_simhash": op4_simhash,
+    "op6_bpe": op6_bpe,
     "op7_mix_sources": op7_mix_sources,
     "op8_shard": op8_shard,
 }
