@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import table
+from tessera.llm.training import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +25,15 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.secrets import find_secrets
+
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    listed = lambda keep: F.array_join(F.transform(F.filter("spans", keep), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")], F.sha2(listed(lambda s: s["kind"] != "novel").cast("binary"), 256).alias("base_sha256"), listed(lambda s: F.lit(True)).alias("spans"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -45,12 +55,40 @@ def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.quality import fit_quality, score_quality
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    known = labels.where("quality in (0, 1)").where(fold(F.col("doc_id"), 3) != 1).select("doc_id", F.col("quality").alias("label"))
+    model = fit_quality(known.join(docs.select("doc_id", "text"), "doc_id"))
+    scored = score_quality(docs, model)
+    return scored.select("doc_id", F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+def language_model(docs: DataFrame):
+    """The model that op10 and the pipeline use: learned from the texts and languages of three folds of four."""
+    from tessera.llm.language import fit_language
+
+    return fit_language(docs.where("lang is not null").where(fold(F.col("doc_id"), 4) != 2).select("doc_id", F.col("lang").alias("label"), "text"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.language import identify
+
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs, language_model(docs))
+    return found.select("doc_id", F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Query] = {
     "op3_warc": op3_warc,
     "op4_simhash": op4_simhash,
+    "op5_secrets": op5_secrets,
     "op6_bpe": op6_bpe,
     "op7_mix_sources": op7_mix_sources,
     "op8_shard": op8_shard,
+    "op9_quality": op9_quality,
+    "op10_language": op10_language,
 }
 
 ORACLE_SQL: dict[str, str] = {}
