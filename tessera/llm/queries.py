@@ -13,6 +13,18 @@ from tessera.llm.training import fold
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op2_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.winnowing import edited_likeness
+
+    return edited_likeness(table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.warc import pages_through_warc
 
@@ -81,6 +93,8 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_topk": op1_topk,
+    "op2_winnow": op2_winnow,
     "op3_warc": op3_warc,
     "op4_simhash": op4_simhash,
     "op5_secrets": op5_secrets,
