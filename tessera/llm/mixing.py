@@ -60,18 +60,53 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
     Null and empty texts have size 0 and take 0. A null source is a source. Rows that repeat count each. A null id is a
     value like any other. An empty table gives no rows. Other columns are ignored.
     """
+    compact = _compact(docs, id_col, text_col, source_col)
+    e = _renamed(mix_budgets(compact, weights, share, repeats))
+    below, edge = F.col("key") < F.col("prefix"), (F.col("key") == F.col("prefix")) & (F.col("tied") > 0)
+    extra = F.when(below, F.col("size")).when(edge, F.floor(F.col("size") * F.col("rest") / F.col("tied")).cast("long")).otherwise(F.lit(0))
+    return compact.join(e, F.col("source").eqNullSafe(F.col("_source"))).select("doc_id", "source", "size", "source_size", "target", _copies().alias("copies"), (F.col("whole") * F.col("size") + extra).cast("long").alias("taken"))
+
+
+def mix_documents(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, repeats: float = 2.0, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The documents of the mix, all columns: each as many times as the mix takes it whole; see mix_sources. Of the
+    document on a source's boundary only whole copies come, so that texts stay whole. Texts are not shuffled."""
+    names = docs.columns
+    e = _renamed(mix_budgets(_compact(docs, id_col, text_col, source_col), weights, share, repeats))
+    plain = docs.toDF(*[f"_c{i}" for i in range(len(names))])
+    id_at, source_at = (f"_c{names.index(c)}" for c in (id_col, source_col))
+    marked = plain.withColumn("key", mix_key(F.col(id_at))).join(e, F.col(source_at).eqNullSafe(F.col("_source"))).withColumn("copies", _copies()).where("copies > 0")
+    return marked.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*plain.columns).toDF(*names)
+
+
+def mix_key(doc_id: Column) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(doc_id, F.lit("mix")), 64 - LEVELS * LEVEL_BITS)
+
+
+def _compact(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     base = pick(docs, doc_id=id_col, text=text_col, source=source_col)
-    compact = written(base.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("mix")), 64 - LEVELS * LEVEL_BITS).alias("key")), "mix")
+    return written(base.select("doc_id", "source", word_count(F.col("text")).alias("size"), mix_key(F.col("doc_id")).alias("key")), "mix")
+
+
+def _renamed(budgets: DataFrame) -> DataFrame:
+    return budgets.withColumnRenamed("source", "_source")
+
+
+def _copies() -> Column:
+    """Whole copies of a document that a mix takes; one that is taken twice in full has no use for the threshold."""
+    return (F.col("whole") + F.when(F.col("key") < F.col("prefix"), 1).otherwise(0)).cast("long")
+
+
+def mix_budgets(compact: DataFrame, weights: Sequence[float], share: float, repeats: float) -> DataFrame:
+    """One row for each source of the table (source, size, key): source_size, target, whole (copies of all documents),
+    prefix (the threshold: keys below it come once more), and rest and tied (words still missing there, and words of
+    documents with that key)."""
     targets = source_targets(compact.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, repeats)
     whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(int(repeats)))).otherwise(F.lit(0)).cast("long")
     edge = targets.withColumn("whole", whole).withColumns({"rest": F.floor(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"), "prefix": F.lit(0).cast("long"), "tied": F.lit(0).cast("long")})
     edge = written(edge, "mix-edge")
     for level in range(1, LEVELS + 1):
         edge = written(_refined(compact, edge, level), "mix-edge")
-    e = edge.select(F.col("source").alias("_source"), "source_size", "target", "whole", "rest", "prefix", "tied")
-    extra = F.when(F.col("key") < F.col("prefix"), F.col("size")).when((F.col("key") == F.col("prefix")) & (F.col("tied") > 0), F.floor(F.col("size") * F.col("rest") / F.col("tied")).cast("long")).otherwise(F.lit(0))
-    copies = F.col("whole") + F.when(F.col("key") < F.col("prefix"), 1).otherwise(0)
-    return compact.join(e, F.col("source").eqNullSafe(F.col("_source"))).select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"), (F.col("whole") * F.col("size") + extra).cast("long").alias("taken"))
+    return edge
 
 
 def _refined(compact: DataFrame, edge: DataFrame, level: int) -> DataFrame:

@@ -77,15 +77,9 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
-def language_model(docs: DataFrame):
-    """The model that op10 and the pipeline use: learned from the texts and languages of three folds of four."""
-    from tessera.llm.language import fit_language
-
-    return fit_language(docs.where("lang is not null").where(fold(F.col("doc_id"), 4) != 2).select("doc_id", F.col("lang").alias("label"), "text"))
-
-
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.language import identify
+    from tessera.llm.stages import language_model
 
     docs = table(spark, sf_dir, "documents")
     found = identify(docs, language_model(docs))
