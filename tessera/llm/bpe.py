@@ -9,29 +9,33 @@ the order of the merges:
 * each state with an arc to a that is still there gets an arc to c.
 
 A sequence of tokens is an encoding if and only if the automaton has its arcs, and each text has exactly one. With tens
-of thousands of merges the arcs are too many to store, so each state stores what its gadget was, and arcs are entered in
-the transition table when they are first asked for: an arc follows from one older arc, down to bytes.
+of thousands of merges the arcs are too many to store, so each state stores what its gadget was, and whether an arc is
+there follows, when it is first asked for, from one older arc, down to bytes.
+
+Words are read byte by byte through a deterministic table over the labels of the arcs, whose transitions are entered as
+words first need them. Each place in a word has exactly one state, that of the last token up to it, so the ids are found by
+going back from the end.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import pick
 
-#: Fixed value: how byte-level vocabularies split text before the merges.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Up to this character all versions of Unicode agree on the pattern's classes. Other texts are split by the library.
-AGREED = "՗"
-#: Words whose ids a worker keeps, and arcs in its transition table, before it starts anew.
-KEPT_WORDS, KEPT_ARCS = 200_000, 1_000_000
+#: Up to this character all versions of Unicode agree on what letters, numbers and spaces are. Texts with others are split
+#: by the library.
+AGREED = 0x557
+#: Words whose ids a worker keeps, twice over; arcs and transitions that it keeps before it starts anew.
+KEPT_WORDS, KEPT_ARCS, KEPT_MOVES = 100_000, 1_000_000, 1_000_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -42,6 +46,18 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
+def splitter() -> re.Pattern:
+    """How byte-level vocabularies split text before the merges: contractions; letters, numbers or others with a space
+    before them; white space, but for the last space before a word. For texts up to AGREED, in classes of characters that
+    the standard library's patterns take more quickly than Unicode properties."""
+
+    def of(kind: str) -> str:
+        return "".join(re.escape(chr(c)) for c in range(AGREED + 1) if unicodedata.category(chr(c))[0] == kind)
+
+    letters, numbers, space = of("L"), of("N"), "\t-\r \x85\xa0"
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^{space}{letters}{numbers}]+|[{space}]+(?![^{space}])|[{space}]+")
+
+
 class Automaton:
     """The tokenization automaton of a tokenizer file's text (the JSON of the tokenizers library: byte-level BPE)."""
 
@@ -61,7 +77,8 @@ class Automaton:
         self.left: dict[int, int] = {}
         self.right: dict[int, int] = {}
         self.merged: dict[tuple[int, int], int] = {}
-        self.table: dict[tuple[int, int], bool] = {}
+        self.table: dict[int, dict[int, bool]] = {}
+        self.arcs = 0
         for k, pair in enumerate(model["merges"], 1):
             a, b = (model["vocab"][t] for t in (pair.split(" ") if isinstance(pair, str) else pair))
             c = model["vocab"]["".join(pair.split(" ") if isinstance(pair, str) else pair)]
@@ -70,7 +87,6 @@ class Automaton:
             if live and c not in self.born:
                 self.born[c], self.left[c], self.right[c] = k, a, b
         self.last = len(model["merges"])
-        self.bytes = {label[0]: i for i, label in self.labels.items() if len(label) == 1 and i not in self.added.values()}
         # the labels of the arcs as a table: (node, byte) to node; node to token
         self.steps: dict[int, int] = {}
         self.ends: dict[int, int] = {}
@@ -83,9 +99,15 @@ class Automaton:
                     nodes += 1
                 node = self.steps[key]
             self.ends[node] = i
+        self.parent = {node: key for key, node in self.steps.items()}
+        self.sizes = {i: len(label) for i, label in self.labels.items()}
+        self.moves: dict[int, int] = {}
+        self.shorter: dict[int, int] = {}
+        self.tokens: dict[int, tuple[tuple[int, int], ...]] = {}
         self.words: dict[str, tuple[int, ...]] = {}
-        self.split = regex.compile(PATTERN).findall
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        self.older: dict[str, tuple[int, ...]] = {}
+        self.split = splitter().findall
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self._library = None
 
     def arc(self, a: int, b: int, k: int) -> bool:
@@ -103,38 +125,70 @@ class Automaton:
             else:
                 a, b, k = self.right[a], self.left[b], x - 1
 
+    def _move(self, node: int, byte: int) -> int:
+        """Enters a transition in the table: the longest label's beginning that the bytes read so far end with."""
+        key = node << 8 | byte
+        to = self.steps.get(key)
+        if to is None:
+            to = self._goto(self._shorter(node), byte) if node else 0
+        self.moves[key] = to
+        return to
+
+    def _goto(self, node: int, byte: int) -> int:
+        to = self.moves.get(node << 8 | byte)
+        return self._move(node, byte) if to is None else to
+
+    def _shorter(self, node: int) -> int:
+        """The node of the longest proper ending of a node's bytes that begins a label."""
+        to = self.shorter.get(node)
+        if to is None:
+            before, byte = self.parent[node] >> 8, self.parent[node] & 255
+            to = self.shorter[node] = self._goto(self._shorter(before), byte) if before else 0
+        return to
+
+    def _tokens_at(self, node: int) -> tuple[tuple[int, int, dict[int, bool]], ...]:
+        """The tokens that a node's bytes end with, their lengths, and what is known of the arcs to them, by state (-1:
+        the start, from which there are arcs to all); the longest first."""
+        found, at = [], node
+        while at:
+            if (t := self.ends.get(at)) is not None:
+                found.append((t, self.sizes[t], self.table.setdefault(t, {-1: True})))
+            at = self._shorter(at)
+        self.tokens[node] = tuple(found)
+        return self.tokens[node]
+
     def encode_word(self, word: str) -> tuple[int, ...]:
-        """Ids of a word, by one walk over its bytes: each place has one state, that of the last token up to it."""
+        """Ids of a word: one transition for each byte, which gives the tokens that can end there; the one that may
+        follow the state where it begins is the state at this place. Then back from the last state, token by token."""
+        if len(self.moves) > KEPT_MOVES or self.arcs > KEPT_ARCS:
+            for kept in (self.moves, self.table, self.tokens, self.shorter):
+                kept.clear()
+            self.arcs = 0
         text = word.encode("utf-8", "surrogatepass")
-        n = len(text)
-        state: list[int | None] = [None] * (n + 1)
-        steps, ends, table = self.steps, self.ends, self.table
-        for i in range(n):
-            before, node = state[i], 0
-            for j in range(i, n):
-                node = steps.get(node << 8 | text[j])
-                if node is None:
+        states, node = [-1], 0
+        moves, tokens = self.moves, self.tokens
+        for place, byte in enumerate(text, 1):
+            to = moves.get(node << 8 | byte)
+            node = self._move(node, byte) if to is None else to
+            for token, length, arcs in tokens.get(node) or self._tokens_at(node):
+                before = states[place - length]
+                known = arcs.get(before)
+                if known is None:
+                    known = arcs[before] = self.arc(before, token, self.last)
+                    self.arcs += 1
+                if known:
                     break
-                token = ends.get(node)
-                if token is None or state[j + 1] is not None:
-                    continue
-                if i:
-                    known = table.get((before, token))
-                    if known is None:
-                        if len(table) >= KEPT_ARCS:
-                            table.clear()
-                        known = table[before, token] = self.arc(before, token, self.last)
-                    if not known:
-                        continue
-                state[j + 1] = token
-        ids = []
-        while n:
-            ids.append(state[n])
-            n -= len(self.labels[state[n]])
-        return tuple(reversed(ids))
+            states.append(token)
+        ids, place, sizes = [], len(text), self.sizes
+        while place:
+            token = states[place]
+            ids.append(token)
+            place -= sizes[token]
+        ids.reverse()
+        return tuple(ids)
 
     def _words_of(self, text: str) -> list[str]:
-        if max(text) <= AGREED:
+        if ord(max(text)) <= AGREED:
             return self.split(text)
         if self._library is None:
             from tokenizers import pre_tokenizers
@@ -153,10 +207,11 @@ class Automaton:
                 for word in self._words_of(piece):
                     got = known.get(word)
                     if got is None:
-                        if len(known) >= KEPT_WORDS:
-                            known.clear()
-                        got = self.encode_word(word)
+                        got = self.older.get(word) or self.encode_word(word)
                         if len(word) <= 64:
+                            if len(known) >= KEPT_WORDS:  # what was not asked for since the last time goes
+                                self.older, self.words = known, {}
+                                known = self.words
                             known[word] = got
                     ids += got
         return ids
