@@ -1 +1 @@
-
+"""Reading and writing objects and key/value data."""

@@ -1 +1 @@
-
+"""Change feeds as streams."""
