@@ -122,7 +122,7 @@ class LanguageModel:
 def fit_language(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, most_languages: int = MOST_LANGUAGES) -> LanguageModel:
     """A model from (doc_id, label, text): a bounded sample of `sample_rows` rows of each of the `most_languages` most
     frequent labels at most. Families are told apart one against the rest, the languages of a family one against one."""
-    rows = sample_by_label(labelled, sample_rows, most_languages).select("doc_id", "label", excerpts(F.col("text")).alias("text")).toPandas()
+    rows = sample_by_label(labelled.select("doc_id", "label"), labelled.select("doc_id", "text"), sample_rows, most_languages).select("doc_id", "label", excerpts(F.col("text")).alias("text")).toPandas()
     rows = rows[[bool(t) and bool(_LETTER.search(t)) for t in rows["text"]]].sort_values(["label", "doc_id"], kind="stable")
     if rows.empty:
         return LanguageModel()

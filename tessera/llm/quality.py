@@ -78,17 +78,17 @@ def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w / scale
 
 
-def fit_quality(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> QualityModel:
-    """A model from (doc_id, label 0 or 1, text): a bounded sample of `sample_rows` rows of each class at most.
+def fit_quality(labels: DataFrame, texts: DataFrame, sample_rows: int = SAMPLE_ROWS) -> QualityModel:
+    """A model from (doc_id, label 0 or 1) and (doc_id, text): a bounded sample of `sample_rows` rows of each class at most.
 
     Half of the sample builds dictionaries by which the other half is scored, and the other way round; a logistic curve
     is fitted to those scores, with each class weighing as it does among all labelled rows. The dictionaries of the
     model come from the whole sample. Without rows of both classes every score is 0.5.
     """
-    counts = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    counts = {r["label"]: r["n"] for r in labels.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return QualityModel()
-    rows = sample_by_label(labelled, sample_rows, 2).select("doc_id", "label", excerpts(F.col("text")).alias("text")).toPandas()
+    rows = sample_by_label(labels, texts, sample_rows, 2).select("doc_id", "label", excerpts(F.col("text")).alias("text")).toPandas()
     rows = rows[rows["text"].fillna("") != ""].sort_values(["label", "doc_id"], kind="stable").reset_index(drop=True)
     texts = {k: rows.loc[rows["label"] == k, "text"].tolist() for k in (0, 1)}
     if min(map(len, texts.values())) < 2:

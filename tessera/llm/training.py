@@ -19,11 +19,14 @@ def excerpts(text: Column, pieces: int = 4, chars: int = 1500) -> Column:
     return F.when(n <= pieces * chars, text).otherwise(F.concat_ws("\n", *parts))
 
 
-def sample_by_label(labelled: DataFrame, per_label: int, labels: int) -> DataFrame:
-    """Up to `per_label` rows (doc_id, label, text) of each of the `labels` most frequent labels, those whose ids have
-    the smallest hashes. The ids are found first, on rows without texts, through one sum for each label and a threshold
-    on the hash that leaves a few more than asked for; only those are sorted."""
-    ids = labelled.select("doc_id", "label", F.shiftrightunsigned(F.xxhash64("doc_id"), 11).cast("double").alias("hash"))
+def sample_by_label(keys: DataFrame, texts: DataFrame, per_label: int, labels: int) -> DataFrame:
+    """Up to `per_label` rows (doc_id, label, text) of each of the `labels` most frequent labels of `keys` (doc_id, label),
+    those whose ids have the smallest hashes, with their texts from `texts` (doc_id, text).
+
+    The ids are found first, on rows without texts, through one sum for each label and a threshold on the hash that
+    leaves a few more than asked for; only those are sorted. At most per_label * labels ids are then sent to the texts,
+    which are not shuffled."""
+    ids = keys.select("doc_id", "label", F.shiftrightunsigned(F.xxhash64("doc_id"), 11).cast("double").alias("hash"))
     counts = {r["label"]: r["n"] for r in ids.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(labels).collect()}
     found = None
     for label, n in sorted(counts.items()):
@@ -31,5 +34,5 @@ def sample_by_label(labelled: DataFrame, per_label: int, labels: int) -> DataFra
         own = ids.where((F.col("label") == F.lit(label)) & (F.col("hash") <= cut)).orderBy("hash", "doc_id").limit(per_label)
         found = own if found is None else found.union(own)
     if found is None:
-        return labelled.limit(0)
-    return labelled.join(F.broadcast(found.select("doc_id", "label").distinct()), ["doc_id", "label"])
+        return keys.join(texts, "doc_id").limit(0)
+    return texts.join(F.broadcast(found.select("doc_id", "label").distinct()), "doc_id")
