@@ -135,8 +135,8 @@ class Pager:
             return self
         upto = (Bounds.ge if self.descending else Bounds.le)(self.cursor[0]).predicate(F.col(self.key))
         back = (ascending if self.descending else descending)(self.key)
-        keys = [r[0] for r in self._rows().where(upto).orderBy(*back).select(self.key).limit(2 * self.size + 1).collect()]  # a page's keys
-        return self.at(keys[2 * self.size]) if len(keys) > 2 * self.size else self.first()
+        keys = [r[0] for r in self._rows().where(upto).orderBy(*back).select(self.key).limit(self.size + 1).collect()]  # a page's keys
+        return self.at(keys[self.size]) if len(keys) > self.size else self.first()
 
     def last(self) -> Pager:
         back = (ascending if self.descending else descending)(self.key)
