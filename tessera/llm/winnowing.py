@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import SPACE, pick
 
 #: A text is read as tokens: words, cut after each TOKEN characters, so that texts without spaces have tokens too.
-TOKEN = 8
+TOKEN = 4
 #: Tokens of a gram, and grams of a window. Equal runs of GRAM + WINDOW - 1 tokens always share a fingerprint.
 GRAM, WINDOW = 4, 4
 #: Documents of a range that one task orders, and ranges at most.
