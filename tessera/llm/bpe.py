@@ -23,13 +23,10 @@ import hashlib
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tessera.llm.common import pick
+from tessera.llm.common import map_texts
 
 #: Up to this character all versions of Unicode agree on what letters, numbers and spaces are. Texts with others are split
 #: by the library.
@@ -243,46 +240,44 @@ def load(path: str) -> str:
 def encode_texts(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids array<int>) for each whole text. Null and empty texts have no ids. Rows that repeat come back each;
     an empty table gives no rows; other columns are ignored."""
-    base = pick(docs, doc_id=id_col, text=text_col)
     source = docs.sparkSession.sparkContext.broadcast(tokenizer)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         a = automaton(source.value)
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "ids": [a.encode(t) for t in b["text"]]})
+        return lambda texts: [[a.encode(t) for t in texts]]
 
-    return base.mapInPandas(run, base.select("doc_id", F.array().cast("array<int>").alias("ids")).schema)
+    return map_texts(docs, id_col, text_col, {"ids": "array<int>"}, start)
 
 
 def decode_ids(encoded: DataFrame, tokenizer: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(doc_id, text) for each row of ids; null ids give an empty text."""
-    base = pick(encoded, doc_id=id_col, ids=ids_col)
     source = encoded.sparkSession.sparkContext.broadcast(tokenizer)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         a = automaton(source.value)
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "text": [a.decode([] if x is None else list(x)) for x in b["ids"]]})
+        return lambda rows: [[a.decode(ids or []) for ids in rows]]
 
-    return base.mapInPandas(run, base.select("doc_id", F.lit("").alias("text")).schema)
+    return map_texts(encoded, id_col, ids_col, {"text": "string"}, start)
 
 
 def round_trip(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of the decimal ids, joined by commas), decoded_sha256 (of the decoded text) for each
     whole text, encoded and decoded in one pass, so that ids need not travel. Null counts as empty; see encode_texts."""
-    base = pick(docs, doc_id=id_col, text=text_col)
     source = docs.sparkSession.sparkContext.broadcast(tokenizer)
     sha = lambda x: hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         a = automaton(source.value)
-        for b in batches:
+
+        def work(texts: list[str | None]) -> list[list]:
             n, ids_sha, text_sha = [], [], []
-            for t in b["text"]:
+            for t in texts:
                 ids = a.encode(t)
                 n.append(len(ids))
                 ids_sha.append(sha(",".join([a.digits[i] for i in ids])))
                 text_sha.append(sha(a.decode(ids)))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": n, "ids_sha256": ids_sha, "decoded_sha256": text_sha})
+            return [n, ids_sha, text_sha]
+
+        return work
 
-    return base.mapInPandas(run, base.select("doc_id", F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("ids_sha256"), F.lit("").alias("decoded_sha256")).schema)
+    return map_texts(docs, id_col, text_col, {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}, start)

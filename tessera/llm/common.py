@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: The characters that separate words, as a class for regular expressions.
@@ -58,3 +61,55 @@ def remove(spark: SparkSession, path: str) -> None:
     """Deletes a written table that is no longer needed."""
     to = spark._jvm.org.apache.hadoop.fs.Path(path)
     to.getFileSystem(spark._jsc.hadoopConfiguration()).delete(to, True)
+
+
+#: Bytes of text that a task works on at a time.
+PIECE_BYTES = 4 << 20
+#: A span of a text, as Arrow has it.
+SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value_start", pa.int32()), ("novelty", pa.float64())])
+_ARROW = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "array<int>": pa.list_(pa.int32()), "array<span>": pa.list_(SPAN)}
+_SPARK = {"array<span>": "array<struct<kind:string,start:int,`end`:int,value_start:int,novelty:double>>"}
+
+
+def map_texts(docs: DataFrame, id_col: str, text_col: str, columns: dict[str, str], start: Callable[[], Callable[[list[str | None]], list[list]]]) -> DataFrame:
+    """doc_id, and `columns` (name to type) that a function makes of a batch of whole texts, a list for each. `start` makes
+    that function, once in each task. Ids of any type pass through as they are, nulls among them."""
+    base = pick(docs, doc_id=id_col, text=text_col)
+    kinds = [(n, _ARROW[k]) for n, k in columns.items()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = start()
+        for b in pieces(batches, 1):
+            made = work(b.column(1).to_pylist())
+            arrays = [b.column(0), *[pa.array(x, type=k) for x, (_, k) in zip(made, kinds, strict=True)]]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", *columns])
+
+    key = base.schema["doc_id"].dataType.simpleString()
+    return base.mapInArrow(run, ", ".join([f"doc_id {key}", *[f"{n} {_SPARK.get(k, k)}" for n, k in columns.items()]]))
+
+
+def pieces(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that the strings of a column have about PIECE_BYTES bytes in each, or one row has more: what is
+    made of them stays small, however many rows Spark puts in a batch."""
+    for b in batches:
+        start = size = 0
+        lengths = pc.fill_null(pc.binary_length(b.column(column)), 0).to_pylist() if pa.types.is_string(b.schema.field(column).type) else [PIECE_BYTES // 64] * b.num_rows
+        for i, n in enumerate(lengths):
+            if size and size + n > PIECE_BYTES:
+                yield b.slice(start, i - start)
+                start, size = i, 0
+            size += n
+        if start < b.num_rows:
+            yield b.slice(start)
+
+
+def map_rows(docs: DataFrame, text_col: str, work: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
+    """The same columns after a function of each Arrow batch. Names may clash, so columns go by place."""
+    at = docs.columns.index(text_col)
+    plain = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, at):
+            yield work(b)
+
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

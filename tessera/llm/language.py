@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import pick
+from tessera.llm.common import map_rows, map_texts
 from tessera.llm.training import excerpts, sample_by_label
 
 #: Labelled rows of each language that a model is fitted on, and languages, at most.
@@ -123,7 +122,7 @@ def fit_language(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, most_langu
     """A model from (doc_id, label, text): a bounded sample of `sample_rows` rows of each of the `most_languages` most
     frequent labels at most. Families are told apart one against the rest, the languages of a family one against one."""
     rows = sample_by_label(labelled.select("doc_id", "label"), labelled.select("doc_id", "text"), sample_rows, most_languages).select("doc_id", "label", excerpts(F.col("text")).alias("text")).toPandas()
-    rows = rows[[bool(t) and bool(_LETTER.search(t)) for t in rows["text"]]].sort_values(["label", "doc_id"], kind="stable")
+    rows = rows[np.array([bool(t) and bool(_LETTER.search(t)) for t in rows["text"]], dtype=bool)].sort_values(["label", "doc_id"], kind="stable")
     if rows.empty:
         return LanguageModel()
     x = np.stack([features(t) for t in rows["text"]])
@@ -154,15 +153,8 @@ def _predicted(model: LanguageModel, texts: list[str | None]) -> tuple[list[str]
 def identify(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score 0 to 1) for each whole text. Null texts, and texts without a letter, are `und` with
     score 0. Rows that repeat come back each; an empty table gives no rows; other columns are ignored."""
-    base = pick(docs, doc_id=id_col, text=text_col)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** HASH_BITS numbers for each family and pair
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            lang, score = _predicted(sent.value, b["text"].tolist())
-            yield pd.DataFrame({"doc_id": b["doc_id"], "lang_pred": lang, "score": score})
-
-    return base.mapInPandas(run, base.select("doc_id", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema)
+    return map_texts(docs, id_col, text_col, {"lang_pred": "string", "score": "double"}, lambda: lambda texts: list(_predicted(sent.value, texts)))
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.3, *, text_col: str = "text") -> DataFrame:
@@ -171,10 +163,8 @@ def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.3, *
     at = docs.columns.index(text_col)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            lang, score = _predicted(sent.value, b.iloc[:, at].tolist())
-            yield b[(np.array(lang, dtype=object) != "und") & (score >= least)]
+    def work(b: pa.RecordBatch) -> pa.RecordBatch:
+        lang, score = _predicted(sent.value, b.column(at).to_pylist())
+        return b.filter(pa.array((np.array(lang, dtype=object) != "und") & (score >= least)))
 
-    plain = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
-    return plain.mapInPandas(run, plain.schema).toDF(*docs.columns)
+    return map_rows(docs, text_col, work)

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import pick
+from tessera.llm.common import map_texts
 from tessera.llm.training import excerpts, sample_by_label
 
 #: Labelled rows of each class that a model is fitted on, at most.
@@ -110,14 +108,16 @@ def fit_quality(labels: DataFrame, texts: DataFrame, sample_rows: int = SAMPLE_R
 def score_quality(docs: DataFrame, model: QualityModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) for each whole text: 0 to 1, higher where label 1 is likelier. Null and empty texts get the score
     of a text of length 0. Rows that repeat come back each; an empty table gives no rows; other columns are ignored."""
-    base = pick(docs, doc_id=id_col, text=text_col)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of DICT_BYTES
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         m = sent.value
         good, bad = m.compressors() if m.good else (None, None)
-        for b in batches:
-            x = np.array([evidence(t, good, bad) if m.good else (0.0, 0.0, 0.0) for t in b["text"]]).reshape(-1, 3)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "score": 1 / (1 + np.exp(-np.clip(x @ np.array(m.weights), -30, 30)))})
 
-    return base.mapInPandas(run, base.select("doc_id", F.lit(0.0).alias("score")).schema)
+        def work(texts: list[str | None]) -> list[list]:
+            x = np.array([evidence(t, good, bad) if m.good else (0.0, 0.0, 0.0) for t in texts]).reshape(-1, 3)
+            return [1 / (1 + np.exp(-np.clip(x @ np.array(m.weights), -30, 30)))]
+
+        return work
+
+    return map_texts(docs, id_col, text_col, {"score": "double"}, start)

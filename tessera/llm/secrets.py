@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tessera.llm.common import pick
+from tessera.llm.common import map_rows, map_texts
 
 #: The base kinds, in their order, with the length that the last group must have.
 BASE = (
@@ -39,7 +37,6 @@ AROUND, BEFORE = 512, 48
 #: Marginal bytes for each character from which on a candidate is reported.
 NOVEL = 0.6
 
-SPANS = "array<struct<kind:string,start:int,`end`:int,value_start:int,novelty:double>>"
 ORDER = {"assign": 0, "access": 1, "hex": 2, "novel": 3}
 
 
@@ -98,15 +95,13 @@ def find_secrets(docs: DataFrame, novel: float = NOVEL, *, id_col: str = "doc_id
     Null and empty texts have no spans. Rows that repeat come back each; an empty table gives no rows; other columns
     are ignored.
     """
-    base = pick(docs, doc_id=id_col, text=text_col)
+    names = ("kind", "start", "end", "value_start", "novelty")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         measure = Novelty()
-        names = ("kind", "start", "end", "value_start", "novelty")
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "spans": [[dict(zip(names, s, strict=True)) for s in spans_of(t, measure, novel)] for t in b["text"]]})
+        return lambda texts: [[[dict(zip(names, s, strict=True)) for s in spans_of(t, measure, novel)] for t in texts]]
 
-    return base.mapInPandas(run, base.select("doc_id", F.array().cast(SPANS).alias("spans")).schema)
+    return map_texts(docs, id_col, text_col, {"spans": "array<span>"}, start)
 
 
 def redact_text(text: str, spans: list[tuple[str, int, int, int, float | None]]) -> str:
@@ -124,20 +119,17 @@ def redact(docs: DataFrame, novel: float = NOVEL, *, text_col: str = "text", cha
     Null texts stay null."""
     at = docs.columns.index(text_col)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        measure = Novelty()
-        for b in batches:
-            new = []
-            for t in b.iloc[:, at]:
-                spans = spans_of(t, measure, novel)
-                new.append(redact_text(t, spans) if spans else t)
-            b = b.copy(deep=False)
-            b.isetitem(at, pd.Series(new, index=b.index, dtype=object))
-            yield b
-
-    plain = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
-    out = plain.mapInPandas(run, plain.schema)
-    if chars_col in docs.columns:
-        n = f"_c{docs.columns.index(chars_col)}"
-        out = out.withColumn(n, F.coalesce(F.char_length(f"_c{at}").cast(dict(docs.dtypes)[chars_col]), F.col(n)))
-    return out.toDF(*docs.columns)
+    count_at = docs.columns.index(chars_col) if chars_col in docs.columns else -1
+
+    def work(b: pa.RecordBatch) -> pa.RecordBatch:
+        measure, new = Novelty(), []
+        counts = b.column(count_at).to_pylist() if count_at >= 0 else []
+        for i, t in enumerate(b.column(at).to_pylist()):
+            spans = spans_of(t, measure, novel)
+            new.append(redact_text(t, spans) if spans else t)
+            if spans and counts:
+                counts[i] = len(new[-1])
+        b = b.set_column(at, b.schema.field(at), pa.array(new, type=b.schema.field(at).type))
+        return b.set_column(count_at, b.schema.field(count_at), pa.array(counts, type=b.schema.field(count_at).type)) if counts else b
+
+    return map_rows(docs, text_col, work)

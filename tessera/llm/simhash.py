@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import pick, written
+from tessera.llm.common import map_texts, written
 from tessera.llm.components import components
 
 BITS = 64
@@ -45,13 +45,10 @@ def simhash_text(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 def fingerprints(docs: DataFrame, shingle: int = 3, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): the fingerprint of each whole text as a signed long; see simhash_text."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            fp = np.fromiter((simhash_text(t, shingle) for t in b["text"]), dtype=np.uint64, count=len(b))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp.view(np.int64)})
+    def work(texts: list[str | None]) -> list[list]:
+        return [np.array([simhash_text(t, shingle) for t in texts], dtype=np.uint64).view(np.int64)]
 
-    base = pick(docs, doc_id=id_col, text=text_col)
-    return base.mapInPandas(run, base.select("doc_id", F.lit(0).cast("long").alias("fp")).schema)
+    return map_texts(docs, id_col, text_col, {"fp": "long"}, lambda: work)
 
 
 def _bits(fp: np.ndarray) -> np.ndarray:
