@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import pick, table
 from tessera.llm.training import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,7 +72,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     known = labels.where("quality in (0, 1)").where(fold(F.col("doc_id"), 3) != 1).select("doc_id", F.col("quality").alias("label"))
-    model = fit_quality(known, docs.select("doc_id", "text"))
+    model = fit_quality(known, pick(docs, doc_id="doc_id", text="text"))
     scored = score_quality(docs, model)
     return scored.select("doc_id", F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import encode_texts, load
+from tessera.llm.common import pick
 from tessera.llm.language import fit_language, keep_identified
 from tessera.llm.mixing import mix_documents
 from tessera.llm.secrets import redact
@@ -15,7 +16,7 @@ from tessera.llm.training import fold
 
 def language_model(docs: DataFrame):
     """Learned from the texts and known languages of three folds of four."""
-    return fit_language(docs.where("lang is not null").where(fold(F.col("doc_id"), 4) != 2).select("doc_id", F.col("lang").alias("label"), "text"))
+    return fit_language(pick(docs, doc_id="doc_id", label="lang", text="text").where("label is not null").where(fold(F.col("doc_id"), 4) != 2))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.25) -> DataFrame:
@@ -26,12 +27,11 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, least: flo
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that with the smallest id. Of rows that repeat an id one stays; rows
     without an id stay."""
-    groups = simhash_groups(docs)
-    keep = groups.where("doc_id = component_id")
+    keep = simhash_groups(docs).where("doc_id = component_id").select("doc_id")
     repeated = not keep.groupBy("doc_id").count().where("count > 1").isEmpty()
-    named, unnamed = docs.where("doc_id is not null"), docs.where("doc_id is null")
-    kept = named.join(keep.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    return (kept.dropDuplicates(["doc_id"]) if repeated else kept).unionByName(unnamed)
+    plain, key = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))]), f"_c{docs.columns.index('doc_id')}"
+    kept = plain.join(keep, F.col(key) == F.col("doc_id"), "left_semi")
+    return (kept.dropDuplicates([key]) if repeated else kept).unionByName(plain.where(F.col(key).isNull())).toDF(*docs.columns)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
