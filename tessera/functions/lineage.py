@@ -1,19 +1,28 @@
-"""Cutting lineage between the rounds of an iteration."""
+"""The folder that the driver and all executors share, and cutting lineage between the rounds of an iteration."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir; only where that is unset, as in tests on one machine, in a new
+    temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """`df` from a reliable checkpoint in the folder of spark.checkpoint.dir, which all executors share; only where that
-    is unset, as in tests on one machine, in a new temporary folder."""
+    """`df` from a reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not base and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(base or tempfile.mkdtemp(prefix="tessera-"))
+        sc.setCheckpointDir(shared_path(df.sparkSession, "checkpoints"))
     return df.checkpoint()

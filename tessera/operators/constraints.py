@@ -63,6 +63,24 @@ class Rule:
     early: bool = False
 
 
+def not_null(type_name: str, field: str, **more: Any) -> Rule:
+    return Rule(type_name, f"{field} is missing", F.col(field).isNotNull(), **more)
+
+
+def within(type_name: str, field: str, values: Values, **more: Any) -> Rule:
+    """Null passes, as it does for other rules; see not_null."""
+    return Rule(type_name, f"{field} is out of range", F.col(field).isNull() | values.predicate(F.col(field)), **more)
+
+
+def matches(type_name: str, field: str, pattern: str, **more: Any) -> Rule:
+    return Rule(type_name, f"{field} is malformed", F.col(field).rlike(pattern), **more)
+
+
+def sized(type_name: str, field: str, low: int, high: int, **more: Any) -> Rule:
+    """A collection of low to high elements."""
+    return Rule(type_name, f"{field} has a wrong size", F.size(field).between(low, high) | F.col(field).isNull(), **more)
+
+
 def validate(snapshot: Snapshot, rules: Sequence[Rule], groups: Iterable[str] = ("default",), touched: Mapping[str, DataFrame] | None = None) -> DataFrame:
     """(phase, _type, _id, rule) of what fails, in the order of the checks: 1 early rules, 2 singletons, 3 unique fields
     and composites, 4 other rules. A condition that is null holds. With `touched` (a DataFrame of _id by type) rules are

@@ -112,6 +112,20 @@ class Model:
         said = {t.name: {f.name: [f.kind, sorted(f.indexed), {k: sorted(v) for k, v in f.refs.items()}] for f in t.fields} | {f"({k})": list(v) for k, v in t.composites.items()} for t in self.types.values()}
         return hashlib.sha256(json.dumps(said, sort_keys=True).encode()).hexdigest()[:32]
 
+    def to_json(self) -> str:
+        """The names, kinds, indexes and references of all types, and what else is stated of fields in plain values."""
+        plain = lambda f: {"name": f.name, "kind": f.kind, "column": f.column, "default": f.default, "indexed": sorted(f.indexed), "refs": {k: list(v) for k, v in f.refs.items()}, "unique": f.unique, "on_delete": f.on_delete, "forward_delete": f.forward_delete, "cascades": sorted(f.cascades), "inverse_cascades": sorted(f.inverse_cascades), "names": list(f.names)}
+        types = [{"name": t.name, "interfaces": list(t.interfaces), "fields": [plain(f) for f in t.fields], "composites": {k: list(v) for k, v in t.composites.items()}, "singleton": t.singleton, "version": t.version} for t in self.types.values()]
+        return json.dumps(types, indent=1)
+
+    @staticmethod
+    def from_json(text: str) -> Model:
+        made = []
+        for t in json.loads(text):
+            fields = tuple(Field(**{**f, "indexed": frozenset(f["indexed"]), "refs": {k: tuple(v) for k, v in f["refs"].items()}, "cascades": frozenset(f["cascades"]), "inverse_cascades": frozenset(f["inverse_cascades"]), "names": tuple(f["names"])}) for f in t["fields"])
+            made.append(ObjType(t["name"], fields, tuple(t["interfaces"]), {k: tuple(v) for k, v in t["composites"].items()}, {}, t["singleton"], t["version"]))
+        return Model(made)
+
     def differences(self, other: Model) -> list[str]:
         """What `other` has that differs, as lines."""
         out = []

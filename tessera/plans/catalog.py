@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.convert import convert, from_ordered_bytes, list_remove, map_put, ordered_bytes, set_of, upgraded
+from tessera.functions.lineage import shared_path
 from tessera.functions.ordering import sort_key
 from tessera.operators import changes as ch
 from tessera.operators import consistency, constraints, evolve, graph, kv, navigate, paths, sets
@@ -15,6 +16,7 @@ from tessera.operators.bounds import Bounds, Values
 from tessera.operators.index import IndexView, composite_index, list_index, map_value_index, simple_index
 from tessera.operators.model import Field, Model, ObjType, Snapshot, ref
 from tessera.plans.tables import MODEL, objects, orders_with_parts, table
+from tessera.streaming import feed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -750,3 +752,31 @@ def index_check_orphan(spark, d):
 @query("SELECT c_mktsegment AS value, c_custkey AS id FROM customer")
 def index_repair(spark, d):
     return consistency.repaired(*_stored(spark, d)).withColumnRenamed("_id", "id")
+
+
+# Streams over the events as they arrive in files
+
+
+def _arriving(spark, d):
+    e = table(spark, d, "events")
+    folder = shared_path(spark, "arriving")
+    e.write.parquet(folder)
+    return feed.changes_from(spark, folder, e.schema)
+
+
+@query("SELECT event_type AS type, count(*) AS n, round(avg(value), 4) AS mean, round(CASE WHEN count(*) <= 1 THEN 0 ELSE var_pop(value) END, 3) AS variance FROM events GROUP BY 1")
+def stream_maintained(spark, d):
+    kept = feed.maintained(_arriving(spark, d).withColumnRenamed("event_type", "type"), ["type"], F.col("value"))
+    return feed.to_table(kept.select("type", "n", F.round("mean", 4).alias("mean"), F.round("variance", 3).alias("variance")), shared_path(spark, "stream"), whole=True)
+
+
+@query("SELECT event_id AS id, c_name AS watch FROM events JOIN customer ON user_id = c_custkey WHERE c_mktsegment = 'BUILDING'")
+def stream_watched(spark, d):
+    watches = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_name").alias("watch"), F.col("c_custkey").alias("user_id"))
+    return feed.to_table(feed.watched(_arriving(spark, d), watches, "user_id").select(F.col("event_id").alias("id"), "watch"), shared_path(spark, "stream"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type AS type, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_windows(spark, d):
+    w = feed.windowed(_arriving(spark, d).withColumnRenamed("event_type", "type").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "1 hour", "2 hours", ["type"])
+    return feed.to_table(w.select(F.col("start").cast("timestamp_ntz").alias("start"), "type", "n"), shared_path(spark, "stream"), whole=True)

@@ -47,6 +47,20 @@ def first_seen(changes: DataFrame, key: str, at: str, late: str) -> DataFrame:
     return changes.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
 
 
+def to_table(stream: DataFrame, path: str, whole: bool = False) -> DataFrame:
+    """What a stream gives for all that has arrived, as a written table. whole: each batch gives the whole result anew,
+    as sums over all changes do; otherwise batches add rows. A batch that is run again writes the same files anew."""
+    spark = stream.sparkSession
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows" if whole else f"{path}/rows/batch={number}")
+
+    writer = stream.writeStream.outputMode("complete" if whole else "append").foreachBatch(put)
+    writer.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.schema(stream.schema).parquet(f"{path}/rows")
+    return found.select(*stream.columns)
+
+
 def each_batch(changes: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Applies a function to each batch of changes, as to replay them on a stored snapshot or to tell listeners; a batch
     that is run again has the same number."""

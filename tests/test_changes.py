@@ -50,6 +50,12 @@ def test_validation(named, spark):
     assert [r for r in rows(constraints.validate(named, [constraints.Rule("A", "named", F.col("name").isNotNull())], touched=touched)) if r[0] == 4] == [(4, "A", "5", "named")]
 
 
+def test_stated_rules(spark):
+    s = Snapshot(Model([ObjType("A", ())]), {"A": spark.createDataFrame([(1, 5, "ab", [1]), (2, 50, "x", [1, 2, 3]), (3, None, None, None)], "_id long, n int, s string, l array<int>")})
+    rules = [constraints.not_null("A", "n"), constraints.within("A", "n", Values(ranges=(Bounds(0, 10),))), constraints.matches("A", "s", "^..$"), constraints.sized("A", "l", 1, 2)]
+    assert rows(constraints.validate(s, rules), "_id", "rule") == [("2", "l has a wrong size"), ("2", "n is out of range"), ("2", "s is malformed"), ("3", "n is missing")]
+
+
 def test_migration(spark):
     old = ObjType("A", (Field("a"), Field("b"), Field("n", "counter"), Field("gone"), ref("r", "A")))
     new = ObjType("A", (Field("a", default=7), Field("b"), Field("n"), Field("extra", default="e"), Field("r")), version=2)
@@ -66,6 +72,7 @@ def test_migration(spark):
 def test_schema_ids_and_differences():
     a, b = Model([ObjType("A", (Field("x"),))]), Model([ObjType("A", (Field("x", indexed=IDX), Field("y"))), ObjType("B", ())])
     assert a.schema_id() == Model([ObjType("A", (Field("x"),))]).schema_id() != b.schema_id()
+    assert Model.from_json(b.to_json()).schema_id() == b.schema_id() and Model.from_json(b.to_json()).differences(b) == []
     assert a.differences(b) == ["~ A.x", "+ A.y", "+ type B"] and a.differences(a) == []
 
 
