@@ -13,6 +13,8 @@ from tessera.functions.lineage import cut
 from tessera.operators.model import Field, Snapshot
 
 KEY = ("_type", "_id")
+#: Hops after which the nodes seen so far are written together again.
+REWRITE = 8
 
 
 def references(snapshot: Snapshot, wanted=lambda t, f: True) -> DataFrame:
@@ -64,7 +66,8 @@ def cascade(edges: DataFrame, start: DataFrame, most: int = -1, visited: DataFra
         frontier = cut(new.withColumn("distance", F.lit(hop)))
         if frontier.isEmpty():
             break
-        seen = cut(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)
+        seen = cut(seen) if hop % REWRITE == 0 else seen
     return seen
 
 

@@ -107,7 +107,8 @@ def follow(snapshot: Snapshot, path: Path, start: DataFrame) -> DataFrame:
             raise ValueError("objects of several types need the column _type")
         start = start.select(F.lit(path.starts[0]).alias("_type"), "_id")
     now = start.select("_type", "_id").where(F.col("_type").isin(*path.starts))
-    one = len(path.starts) == 1
+    if not path.steps:
+        return now.distinct()
     for s in path.steps:
         parts = []
         for t in s.holders:
@@ -126,9 +127,9 @@ def follow(snapshot: Snapshot, path: Path, start: DataFrame) -> DataFrame:
                 held = frame.select("_id", _values(f, s.part).alias("_ref"))
                 parts.append(held.join(here, F.col("_ref") == F.col("_to"), "left_semi").select(F.lit(t).alias("_type"), "_id"))
         now = _union(parts)
-        one = s is not path.steps[-1] and not s.forward and not s.part and len(s.holders) == 1  # ids are still distinct
-        now = now if one else now.distinct()
-    return now if path.steps else now.distinct()
+        if s.forward or s.part:  # a step against a plain reference gives each holder once, as ids are unique
+            now = now.distinct()
+    return now
 
 
 def invert(model: Model, path: Path) -> Path:
