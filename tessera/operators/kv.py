@@ -136,18 +136,32 @@ def fold_counters(adjusts: DataFrame, by: str = "key") -> DataFrame:
     return adjusts.groupBy(by).agg(F.sum("delta").cast("long").alias("value"))
 
 
-def conflicts(reads: DataFrame, writes: DataFrame, cells: int = 256) -> DataFrame:
+def conflicts(reads: DataFrame, writes: DataFrame, per_cell: int = 64, fan: int = 16) -> DataFrame:
     """(tx, min, max, kind, key) where a transaction's read of a range [min, max) meets another's write: reads (tx, min,
-    max), writes (tx, kind: put, remove or adjust, key), keys numbers. Ranges and keys are dealt into cells of equal
-    width, so that each read meets only the writes of its cells."""
-    low, high = writes.agg(F.min("key"), F.max("key")).first()
-    if low is None:
+    max), writes (tx, kind: put, remove or adjust, key), keys whole numbers.
+
+    Keys are cut into cells of about `per_cell` writes, and, level by level, into cells `fan` times as wide. A read goes
+    to the cells that it touches on the first level where those are few; a write goes to one cell of each level. So a
+    read meets the writes near its range only, whether it is short or long, and however many writes there are."""
+    n, low, high = writes.agg(F.count("key"), F.min("key"), F.max("key")).first()
+    longest = reads.agg(F.max(F.col("max") - F.col("min"))).first()[0]
+    if not n or longest is None:
         return reads.limit(0).select("tx", "min", "max", F.lit("").alias("kind"), F.lit(0).cast("long").alias("key"))
-    width = max(1, -(-(high - low + 1) // cells))
-    cell = lambda c: F.greatest(F.least(F.floor((c - low) / width), F.lit(cells)), F.lit(-1)).cast("int")
-    r = reads.where("min < max").select("tx", "min", "max", F.explode(F.sequence(cell(F.col("min")), cell(F.col("max") - 1))).alias("_cell"))
-    w = writes.select(F.col("tx").alias("_by"), "kind", "key", cell(F.col("key")).alias("_cell"))
-    hit = r.join(w, "_cell").where((F.col("tx") != F.col("_by")) & (F.col("key") >= F.col("min")) & (F.col("key") < F.col("max")))
+    widths = [max(1, (high - low + 1) * per_cell // n)]
+    while widths[-1] * fan < min(longest, high - low + 1):
+        widths.append(widths[-1] * fan)
+    width = lambda level: F.element_at(F.array(*[F.lit(w) for w in widths]), level + 1)
+    cell = lambda key, level: F.floor((key - low) / width(level))  # noqa: E731  never falls as keys rise, which suffices
+    r = reads.withColumns({"_low": F.greatest("min", F.lit(low)), "_high": F.least("max", F.lit(high + 1))}).where("_low < _high")
+    length = F.col("_high") - F.col("_low")
+    level = F.lit(0)
+    for w in widths[:-1]:
+        level = level + (length > w * fan).cast("int")
+    r = r.withColumn("_level", level)
+    r = r.select("tx", "min", "max", "_level", F.explode(F.sequence(cell(F.col("_low"), F.col("_level")), cell(F.col("_high") - 1, F.col("_level")))).alias("_cell"))
+    w = writes.select(F.col("tx").alias("_by"), "kind", "key", F.explode(F.array(*[F.lit(i) for i in range(len(widths))])).alias("_level"))
+    w = w.withColumn("_cell", cell(F.col("key"), F.col("_level")))
+    hit = r.join(w, ["_level", "_cell"]).where((F.col("tx") != F.col("_by")) & (F.col("key") >= F.col("min")) & (F.col("key") < F.col("max")))
     return hit.select("tx", "min", "max", "kind", "key").distinct()
 
 

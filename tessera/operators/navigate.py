@@ -63,16 +63,17 @@ def sub_set(df: DataFrame, key: str, bounds: Bounds, descending_order: bool = Fa
     return found.orderBy(*(descending if descending_order else ascending)(key))
 
 
-def floors(left: DataFrame, right: DataFrame, on: str, by: Sequence[str] = (), *, carry: Sequence[str], inclusive: bool = True, cells: int = 1024) -> DataFrame:
+def floors(left: DataFrame, right: DataFrame, on: str, by: Sequence[str] = (), *, carry: Sequence[str], inclusive: bool = True, cells: int | None = None, cell_rows: int = 200_000) -> DataFrame:
     """For each row of `left` the columns `carry` of the row of `right` with the greatest `on` at or below its own (below
     it, if not inclusive), among those with equal `by`; null if there is none. `on` is a number, date or timestamp.
 
-    The values of `on` are cut into `cells` cells of equal width, and rows are dealt by `by` and cell, so that one value
+    The values of `on` are cut into cells of equal width, about `cell_rows` rows to a cell, and rows are dealt by `by` and cell, so that one value
     of `by` with many rows, or none at all, doesn't end up in one task. What a row doesn't find in its cell is the last
     row of the nearest earlier cell, of which there is one row for each value of `by` and cell.
     """
     number = lambda c: c.cast("double")
-    low, high = right.agg(F.min(number(F.col(on))), F.max(number(F.col(on)))).first()
+    n, low, high = right.agg(F.count("*"), F.min(number(F.col(on))), F.max(number(F.col(on)))).first()
+    cells = cells or max(64, (n + left.count()) // cell_rows)
     low, width = low or 0.0, max(((high or 0.0) - (low or 0.0)) / cells, 1e-9)
     cell = F.least(F.greatest(F.floor((number(F.col(on)) - low) / width), F.lit(-1)), F.lit(cells)).cast("int")
     packed = F.struct(*carry)

@@ -128,7 +128,8 @@ def test_conflicts_equal_a_model(spark):
     writes = [(rng.randrange(5), rng.choice(["put", "remove", "adjust"]), rng.randrange(100)) for _ in range(60)]
     want = {(t, lo, hi, k, key) for t, lo, hi in reads for by, k, key in writes if by != t and lo <= key < hi}
     r, w = spark.createDataFrame(reads, "tx int, min long, max long"), spark.createDataFrame(writes, "tx int, kind string, key long")
-    assert set(rows(kv.conflicts(r, w, cells=7))) == want and kv.conflicts(r, w.limit(0)).isEmpty()
+    assert set(rows(kv.conflicts(r, w))) == want and set(rows(kv.conflicts(r, w, per_cell=1, fan=2))) == want
+    assert kv.conflicts(r, w.limit(0)).isEmpty() and kv.conflicts(r.limit(0), w).isEmpty()
 
 
 def test_ranges_merge(spark):
