@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,6 +17,15 @@ SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 
 
+def let_workers_import(spark: SparkSession) -> None:
+    """Puts the folder of this package on the path of Python workers started from now on. Where the workers have the
+    package otherwise, as after spark-submit --py-files, this changes nothing."""
+    here = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    if here not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH", ""), here]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table `name` of the folder of Parquet tables `sf_dir`."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -27,6 +37,7 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     Old names are matched exactly, so other columns whose names differ in case only, or that clash with names an
     operator uses itself, do no harm.
     """
+    let_workers_import(df.sparkSession)
     names = df.columns
     plain = df.toDF(*[f"_c{i}" for i in range(len(names))])
     return plain.select(*[plain[f"_c{names.index(old)}"].alias(new) for new, old in columns.items()])
@@ -105,6 +116,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.Record
 
 def map_rows(docs: DataFrame, text_col: str, work: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
     """The same columns after a function of each Arrow batch. Names may clash, so columns go by place."""
+    let_workers_import(docs.sparkSession)
     at = docs.columns.index(text_col)
     plain = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
 
