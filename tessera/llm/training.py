@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Rows of a sample at most, whatever the number of labels.
+MOST_ROWS = 8000
+
 
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo folds."""
@@ -19,20 +23,21 @@ def excerpts(text: Column, pieces: int = 4, chars: int = 1500) -> Column:
     return F.when(n <= pieces * chars, text).otherwise(F.concat_ws("\n", *parts))
 
 
-def sample_by_label(keys: DataFrame, texts: DataFrame, per_label: int, labels: int) -> DataFrame:
+def sample_by_label(keys: DataFrame, texts: DataFrame, per_label: int, labels: int, most_rows: int = MOST_ROWS) -> DataFrame:
     """Up to `per_label` rows (doc_id, label, text) of each of the `labels` most frequent labels of `keys` (doc_id, label),
-    those whose ids have the smallest hashes, with their texts from `texts` (doc_id, text).
+    those whose ids have the smallest hashes, with their texts from `texts` (doc_id, text); fewer of each if there are so
+    many labels that all together would be over `most_rows`.
 
-    The ids are found first, on rows without texts, through one sum for each label and a threshold on the hash that
-    leaves a few more than asked for; only those are sorted. At most per_label * labels ids are then sent to the texts,
+    The ids are found first, on rows without texts, through one count for each label and a threshold on the hash that
+    leaves a few more than asked for; only those are ranked. At most per_label * labels ids are then sent to the texts,
     which are not shuffled."""
     ids = keys.select("doc_id", "label", F.shiftrightunsigned(F.xxhash64("doc_id"), 11).cast("double").alias("hash"))
     counts = {r["label"]: r["n"] for r in ids.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(labels).collect()}
-    found = None
-    for label, n in sorted(counts.items()):
-        cut = 2.0**53 * min(1.0, 2.0 * (per_label + 50) / n)
-        own = ids.where((F.col("label") == F.lit(label)) & (F.col("hash") <= cut)).orderBy("hash", "doc_id").limit(per_label)
-        found = own if found is None else found.union(own)
-    if found is None:
+    per_label = min(per_label, max(1, most_rows // max(1, len(counts))))
+    if not counts:
         return keys.join(texts, "doc_id").limit(0)
+    cuts = F.create_map(*[F.lit(x) for label, n in sorted(counts.items()) for x in (label, 2.0**53 * min(1.0, 2.0 * (per_label + 50) / n))])
+    few = ids.where(F.col("hash") <= F.try_element_at(cuts, F.col("label")))
+    first = W.partitionBy("label").orderBy("hash", "doc_id")
+    found = few.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_label)
     return texts.join(F.broadcast(found.select("doc_id", "label").distinct()), "doc_id")
