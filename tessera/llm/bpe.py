@@ -23,6 +23,7 @@ import hashlib
 import json
 import re
 import unicodedata
+from itertools import chain
 
 from pyspark.sql import DataFrame
 
@@ -31,8 +32,8 @@ from tessera.llm.common import map_texts
 #: Up to this character all versions of Unicode agree on what letters, numbers and spaces are. Texts with others are split
 #: by the library.
 AGREED = 0x557
-#: Words whose ids a worker keeps, twice over; arcs and transitions that it keeps before it starts anew.
-KEPT_WORDS, KEPT_ARCS, KEPT_MOVES = 100_000, 1_000_000, 1_000_000
+#: Words whose ids a worker keeps, twice over; arcs and transitions together that it keeps before it starts anew.
+KEPT_WORDS, KEPT_STEPS = 200_000, 1_000_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -74,8 +75,6 @@ class Automaton:
         self.left: dict[int, int] = {}
         self.right: dict[int, int] = {}
         self.merged: dict[tuple[int, int], int] = {}
-        self.table: dict[int, dict[int, bool]] = {}
-        self.arcs = 0
         for k, pair in enumerate(model["merges"], 1):
             a, b = (model["vocab"][t] for t in (pair.split(" ") if isinstance(pair, str) else pair))
             c = model["vocab"]["".join(pair.split(" ") if isinstance(pair, str) else pair)]
@@ -98,9 +97,7 @@ class Automaton:
             self.ends[node] = i
         self.parent = {node: key for key, node in self.steps.items()}
         self.sizes = {i: len(label) for i, label in self.labels.items()}
-        self.moves: dict[int, int] = {}
-        self.shorter: dict[int, int] = {}
-        self.tokens: dict[int, tuple[tuple[int, int], ...]] = {}
+        self._start()
         self.words: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
         self.split = splitter().findall
@@ -122,18 +119,36 @@ class Automaton:
             else:
                 a, b, k = self.right[a], self.left[b], x - 1
 
-    def _move(self, node: int, byte: int) -> int:
-        """Enters a transition in the table: the longest label's beginning that the bytes read so far end with."""
-        key = node << 8 | byte
-        to = self.steps.get(key)
-        if to is None:
-            to = self._goto(self._shorter(node), byte) if node else 0
-        self.moves[key] = to
+    def _start(self) -> None:
+        """An empty transition table. A row is what the bytes read so far end with, the longest beginning of a label: its
+        transitions by byte, the tokens that can end there, and its node in the tree of labels."""
+        self.rows: dict[int, tuple] = {}
+        self.arcs: dict[int, dict[int, bool]] = {}
+        self.shorter: dict[int, int] = {0: 0}
+        self.kept = 0
+        self.first = self._row(0)
+
+    def _row(self, node: int) -> tuple:
+        row = self.rows.get(node)
+        if row is None:
+            tokens, at = [], node
+            while at:  # the longest first; with what is known of the arcs to a token, by state (-1: the start, to all)
+                if (t := self.ends.get(at)) is not None:
+                    tokens.append((t, self.sizes[t], self.arcs.setdefault(t, {-1: True})))
+                at = self._shorter(at)
+            row = self.rows[node] = ({}, tuple(tokens), node)
+        return row
+
+    def _step(self, row: tuple, byte: int) -> tuple:
+        """Enters a transition in the table."""
+        self.kept += 1
+        to = row[0][byte] = self._row(self._goto(row[2], byte))
         return to
 
     def _goto(self, node: int, byte: int) -> int:
-        to = self.moves.get(node << 8 | byte)
-        return self._move(node, byte) if to is None else to
+        while (to := self.steps.get(node << 8 | byte)) is None and node:
+            node = self._shorter(node)
+        return to or 0
 
     def _shorter(self, node: int) -> int:
         """The node of the longest proper ending of a node's bytes that begins a label."""
@@ -143,40 +158,26 @@ class Automaton:
             to = self.shorter[node] = self._goto(self._shorter(before), byte) if before else 0
         return to
 
-    def _tokens_at(self, node: int) -> tuple[tuple[int, int, dict[int, bool]], ...]:
-        """The tokens that a node's bytes end with, their lengths, and what is known of the arcs to them, by state (-1:
-        the start, from which there are arcs to all); the longest first."""
-        found, at = [], node
-        while at:
-            if (t := self.ends.get(at)) is not None:
-                found.append((t, self.sizes[t], self.table.setdefault(t, {-1: True})))
-            at = self._shorter(at)
-        self.tokens[node] = tuple(found)
-        return self.tokens[node]
-
     def encode_word(self, word: str) -> tuple[int, ...]:
         """Ids of a word: one transition for each byte, which gives the tokens that can end there; the one that may
         follow the state where it begins is the state at this place. Then back from the last state, token by token."""
-        if len(self.moves) > KEPT_MOVES or self.arcs > KEPT_ARCS:
-            for kept in (self.moves, self.table, self.tokens, self.shorter):
-                kept.clear()
-            self.arcs = 0
+        if self.kept > KEPT_STEPS:
+            self._start()
         text = word.encode("utf-8", "surrogatepass")
-        states, node = [-1], 0
-        moves, tokens = self.moves, self.tokens
-        for place, byte in enumerate(text, 1):
-            to = moves.get(node << 8 | byte)
-            node = self._move(node, byte) if to is None else to
-            for token, length, arcs in tokens.get(node) or self._tokens_at(node):
+        states, row, place = [-1], self.first, 0
+        for byte in text:
+            place += 1
+            row = row[0].get(byte) or self._step(row, byte)
+            for token, length, arcs in row[1]:
                 before = states[place - length]
                 known = arcs.get(before)
                 if known is None:
                     known = arcs[before] = self.arc(before, token, self.last)
-                    self.arcs += 1
+                    self.kept += 1
                 if known:
                     break
             states.append(token)
-        ids, place, sizes = [], len(text), self.sizes
+        ids, sizes = [], self.sizes
         while place:
             token = states[place]
             ids.append(token)
@@ -196,23 +197,29 @@ class Automaton:
     def encode(self, text: str | None) -> list[int]:
         """Ids of a whole text; added tokens in it become their ids. Null counts as empty."""
         ids: list[int] = []
-        known = self.words
         for k, piece in enumerate(self.cut.split(text) if self.cut and text else [text]):
             if k % 2:
                 ids.append(self.added[piece])
             elif piece:
-                for word in self._words_of(piece):
-                    got = known.get(word)
+                words = self._words_of(piece)
+                found = list(map(self.words.get, words))
+                for i, got in enumerate(found):
                     if got is None:
-                        got = self.older.get(word) or self.encode_word(word)
-                        if len(word) <= 64:
-                            if len(known) >= KEPT_WORDS:  # what was not asked for since the last time goes
-                                self.older, self.words = known, {}
-                                known = self.words
-                            known[word] = got
-                    ids += got
+                        found[i] = self._new_word(words[i])
+                ids.extend(chain.from_iterable(found))
         return ids
 
+    def _new_word(self, word: str) -> tuple[int, ...]:
+        """Ids of a word that was not asked for lately, which are then kept."""
+        known = self.words
+        got = known.get(word) or self.older.get(word) or self.encode_word(word)
+        if len(word) <= 64:
+            if len(known) >= KEPT_WORDS:  # what was not asked for since the last time goes
+                self.older, self.words = known, {}
+                known = self.words
+            known[word] = got
+        return got
+
     def decode(self, ids: list[int]) -> str:
         """The labels of the arcs one after the other, as text; bytes that are no UTF-8 become U+FFFD."""
         labels = self.labels

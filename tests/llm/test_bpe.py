@@ -37,7 +37,7 @@ def test_long_words_and_small_memories(monkeypatch):
     same("abcdefgh" * 2000)
     import tessera.llm.bpe as bpe
 
-    for limit in ("KEPT_WORDS", "KEPT_ARCS", "KEPT_MOVES"):
+    for limit in ("KEPT_WORDS", "KEPT_STEPS"):
         monkeypatch.setattr(bpe, limit, 2)
     for t in ("tokenization of unusual words", "another unusual tokenization"):
         same(t)
