@@ -60,7 +60,7 @@ def _whole(text: str | None) -> int | None:
     return int(text) if text and text.lstrip("-").isdigit() else None
 
 
-def archives_of(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
+def archives_of(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES, level: str = "DEFAULT_COMPRESSION", *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
     """Writes pages as legacy ARC archives, the even ones in version 1 of the format, the odd ones in version 2."""
     base = pick(pages, page_id=id_col, url=url_col, html=html_col)
     html = F.coalesce("html", F.lit(""))
@@ -76,7 +76,7 @@ def archives_of(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES,
     body = F.when(F.col("file") % 2 == 0, f"1 0 tessera\n{ARC_FIELDS[1]}\n").otherwise(f"2 0 tessera\n{ARC_FIELDS[2]}\n")
     line = F.when(F.col("file") % 2 == 0, F.concat(F.lit("filedesc://"), name, F.lit(" 0.0.0.0 20240101000000 text/plain"))).otherwise(F.concat(F.lit("filedesc://"), name, F.lit(" 0.0.0.0 20240101000000 text/plain 200 - - 0 "), name))
     tops = pages.sparkSession.range(n).select(F.col("id").cast("int").alias("file"), F.lit(0).alias("order")).select("file", "order", F.concat(line, F.lit(" "), F.octet_length(body).cast("string"), F.lit("\n"), body).alias("value"))
-    records.union(tops).repartition(n, "file").sortWithinPartitions("file", "order").select("value").write.option("lineSep", "\n").option("compression", "gzip").text(path)
+    records.union(tops).repartition(n, "file").sortWithinPartitions("file", "order").select("value").write.option("lineSep", "\n").option("compression", "gzip").option("zlib.compress.level", level).text(path)
 
 
 def arc_records(content: bytes, name: str, payloads: bool = True) -> Iterator[dict]:
@@ -224,7 +224,7 @@ def pages_through_warc(pages: DataFrame, payloads: bool = False) -> DataFrame:
     """
     spark = pages.sparkSession
     arc, warc = shared_path(spark, "arc"), shared_path(spark, "warc")
-    archives_of(pages, arc)
+    archives_of(pages, arc, level="BEST_SPEED")  # they are read twice and removed
     convert_arc(spark, arc, warc)
     remove(spark, arc)
     return read_warc(spark, warc, payloads).where("record_type in ('response', 'revisit')")
