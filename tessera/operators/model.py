@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
@@ -144,11 +144,34 @@ class Model:
         return out
 
 
+class Frames(Mapping):
+    """DataFrames by type; a function of no arguments in the place of one is called when it is first asked for, so that
+    only the tables that a query touches are opened."""
+
+    def __init__(self, made: Mapping[str, DataFrame | Callable[[], DataFrame]]):
+        self._made = dict(made)
+
+    def __getitem__(self, name: str) -> DataFrame:
+        found = self._made[name]
+        if not isinstance(found, DataFrame):
+            found = self._made[name] = found()
+        return found
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._made)
+
+    def __len__(self) -> int:
+        return len(self._made)
+
+    def replaced(self, frames: Mapping[str, DataFrame]) -> Frames:
+        return Frames({**self._made, **frames})
+
+
 class Snapshot:
     """Objects at one time: for each type a DataFrame with _id and its columns. Writes give a new snapshot."""
 
     def __init__(self, model: Model, frames: Mapping[str, DataFrame]):
-        self.model, self.frames = model, dict(frames)
+        self.model, self.frames = model, frames if isinstance(frames, Frames) else Frames(frames)
 
     def of(self, name: str) -> DataFrame:
         return self.frames[name]
@@ -194,7 +217,7 @@ class Snapshot:
         return reduce(DataFrame.unionByName, parts).groupBy("_version", "_type").agg(F.count("*").alias("objects"))
 
     def replaced(self, **frames: DataFrame) -> Snapshot:
-        return Snapshot(self.model, {**self.frames, **frames})
+        return Snapshot(self.model, self.frames.replaced(frames))
 
     def upsert(self, name: str, rows: DataFrame) -> Snapshot:
         """With rows put in, in place of those with the same _id."""

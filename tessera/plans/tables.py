@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.model import Field, Model, ObjType, Snapshot, ref
+from tessera.operators.model import Field, Frames, Model, ObjType, Snapshot, ref
 
 _INDEXED = frozenset({""})
 _ELEMENT = frozenset({"element"})
@@ -37,7 +37,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def objects(spark: SparkSession, sf_dir: str, *types: str) -> Snapshot:
     """A snapshot of the tables' objects, all types or the stated ones."""
     names = types or tuple(_KEYS)
-    frames = {t: table(spark, sf_dir, _KEYS[t][0]).withColumn("_id", F.col(_KEYS[t][1])) for t in names}
+    frames = Frames({t: lambda t=t: table(spark, sf_dir, _KEYS[t][0]).withColumn("_id", F.col(_KEYS[t][1])) for t in names})
     return Snapshot(Model([MODEL.types[t] for t in names]) if types else MODEL, frames)
 
 
