@@ -7,12 +7,13 @@ from itertools import accumulate, combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_texts, written
+from tessera.llm.common import map_texts, pick, written
 from tessera.llm.components import components
 
 BITS = 64
@@ -22,6 +23,9 @@ DENSE = 64
 PROBE_COST = 1.0
 #: Fingerprints for each value of a part that are aimed at; more make the parts wider.
 AIM = 8
+#: Bits within which a wide search finds all pairs, bits up to which it compares the texts of what it meets, and the share
+#: of five-word shingles that makes them near copies. Near copies at that share differ in 2 to 11 bits of 64.
+WIDE, REACH, LIKE = 7, 12, 0.8
 
 
 def simhash_text(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -146,47 +150,57 @@ def allocate(cost: np.ndarray, tau: int) -> np.ndarray:
     return out - 1
 
 
-def near_links(distinct: DataFrame, tau: int = 2, parts: int | None = None, dense: int = DENSE) -> DataFrame:
-    """Links (a, b) between nodes of the table (fp, node) of different fingerprints; two fingerprints are linked, or
-    linked through others, if and only if they are within `tau` bits, or within it through others.
-
-    Parts are as many as leave about AIM fingerprints or fewer to a value. Each fingerprint is indexed by its value in
-    each part, and probes all values within its threshold of its own. What is found in a bucket of up to `dense`
-    fingerprints is verified. For larger buckets, which near copies of one text fill, all fingerprints that lie in one
-    or probe one go to their midpoints instead (tau 2: all values that differ in one bit or none): two are within 2 if
-    and only if they meet at a midpoint, where at most 65 can meet, so links to the smallest node there leave out no
-    link and grow with the number of fingerprints, not its square.
+def probe_rows(distinct: DataFrame, tau: int, parts: int | None = None, most: int | None = None) -> DataFrame:
+    """(part, value, fp, node, probe), written: for the table (fp, node) of different fingerprints, each one's value in
+    each part, and the values that it probes. Parts are as many as leave about AIM fingerprints or fewer to a value. Two
+    fingerprints within `tau` meet in some part, one by its own value and the other by a probe. `most`: the largest
+    threshold of a part.
     """
+    most = tau if most is None else most
     n, pairs = bit_pairs(distinct)
-    parts = parts or max([2, *(m for m in range(2, tau + 2) if n / 2 ** (BITS // m) <= AIM)])
+    parts = parts or max([-(-(tau + 1) // (most + 1)), 2, *(m for m in range(2, tau + 2) if n / 2 ** (BITS // m) <= AIM)])
     groups = group_bits(n, pairs, parts)
     halves = [h for g in groups for h in (g[: len(g) // 2], g[len(g) // 2 :])]
-    shares = near_shares(distinct, n, halves, tau)
-    masks = [[sum(1 << b for b in c) for e in range(tau + 1) for c in combinations(range(len(g)), e)] for g in groups]
-    sizes = [list(accumulate(len(list(combinations(range(len(g)), e))) for e in range(tau + 1))) for g in groups]
+    shares = near_shares(distinct, n, halves, most)
+    masks = [[sum(1 << b for b in c) for e in range(most + 1) for c in combinations(range(len(g)), e)] for g in groups]
+    sizes = [list(accumulate(len(list(combinations(range(len(g)), e))) for e in range(most + 1))) for g in groups]
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at = [np.array(m, dtype=np.int64) for m in masks]
         for b in batches:
             fp = b["fp"].to_numpy()
             bits = _bits(fp.view(np.uint64))
-            cost = np.zeros((len(fp), parts, tau + 2))
+            cost = np.zeros((len(fp), parts, most + 2))
             own = []
             for i, g in enumerate(groups):
                 own.append(_values(bits, g))
                 x, y = (shares[2 * i + k][_values(bits, halves[2 * i + k])] for k in (0, 1))
-                found = np.cumsum([sum(x[:, a] * y[:, e - a] for a in range(e + 1)) for e in range(tau + 1)], axis=0).T * n
+                found = np.cumsum([sum(x[:, a] * y[:, e - a] for a in range(e + 1)) for e in range(most + 1)], axis=0).T * n
                 cost[:, i, 1:] = found + PROBE_COST * np.array(sizes[i])
             radius = allocate(cost, tau)
             for i in range(parts):
                 rows = [pd.DataFrame({"part": i, "value": own[i], "fp": fp, "node": b["node"].to_numpy(), "probe": False})]
-                for r in range(tau + 1):
+                for r in range(most + 1):
                     q = np.flatnonzero(radius[:, i] == r)
                     m = at[i][: sizes[i][r]]
                     rows.append(pd.DataFrame({"part": i, "value": (own[i][q][:, None] ^ m).ravel(), "fp": np.repeat(fp[q], len(m)), "node": np.repeat(b["node"].to_numpy()[q], len(m)), "probe": True}))
                 yield pd.concat(rows)
 
-    rows = written(distinct.select("fp", "node").mapInPandas(keys, "part int, value long, fp long, node long, probe boolean"), "simhash-keys")
+    return written(distinct.select("fp", "node").mapInPandas(keys, "part int, value long, fp long, node long, probe boolean"), "simhash-keys")
+
+
+def near_links(distinct: DataFrame, tau: int = 2, parts: int | None = None, dense: int = DENSE) -> DataFrame:
+    """Links (a, b) between nodes of the table (fp, node) of different fingerprints; two fingerprints are linked, or
+    linked through others, if and only if they are within `tau` bits, or within it through others.
+
+    Parts are as many as leave about AIM fingerprints or fewer to a value. Each fingerprint is indexed by its value in
+    each part, and probes all values within its threshold of its own. What is found in a bucket of up to `dense`
+    fingerprints is verified. For larger buckets, which near copies of one text fill, all fingerprints that lie in one
+    or probe one go to their midpoints instead (tau 2: all values that differ in one bit or none): two are within 2 if
+    and only if they meet at a midpoint, where at most 65 can meet, so links to the smallest node there leave out no
+    link and grow with the number of fingerprints, not its square.
+    """
+    rows = probe_rows(distinct, tau, parts)
     index, probes = rows.where("not probe").drop("probe"), rows.where("probe").drop("probe")
     crowded = written(index.groupBy("part", "value").count().where(F.col("count") > dense).select("part", "value"), "simhash-dense")
     sparse = probes.join(crowded, ["part", "value"], "left_anti").withColumnsRenamed({"fp": "fp2", "node": "node2"})
@@ -196,6 +210,55 @@ def near_links(distinct: DataFrame, tau: int = 2, parts: int | None = None, dens
     return verified.union(midpoint_links(thick, tau))
 
 
+def likeness(left: str | None, right: str | None, shingle: int = 5) -> float:
+    """The share of the different word shingles of two texts that both have; words and short texts as in simhash_text."""
+    sets = []
+    for t in (left, right):
+        w = (t or "").encode("utf-8", "replace").lower().split()
+        sets.append({b" ".join(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set())
+    x, y = sets
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def wide_candidates(distinct: DataFrame, tau: int = WIDE, reach: int = REACH, dense: int = DENSE) -> DataFrame:
+    """Pairs (a, b) of nodes, a < b, to compare by their texts: all within `tau` bits, and what the same probes meet up to
+    `reach`. In a bucket of over `dense` fingerprints each one is paired with the smallest node there and with the
+    smallest of those that have its value in the next part too, in place of all: the members of a large group then hang
+    together over the many buckets that they share, and pairs grow with the fingerprints."""
+    rows = probe_rows(distinct, tau, most=2)
+    index, probes = rows.where("not probe").drop("probe"), rows.where("probe").drop("probe")
+    crowded = written(index.groupBy("part", "value").count().where(F.col("count") > dense).select("part", "value"), "simhash-dense")
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= reach
+    pair = [F.col("node").alias("a"), F.col("node2").alias("b")]
+    sparse = probes.join(crowded, ["part", "value"], "left_anti").withColumnsRenamed({"fp": "fp2", "node": "node2"})
+    found = index.join(sparse, ["part", "value"]).where((F.col("fp") != F.col("fp2")) & near).select(*pair)
+    other = index.select("fp", F.col("part").alias("part2"), F.col("value").alias("value2"))
+    parts = F.expr("part + 1")
+    thick = rows.join(crowded, ["part", "value"], "left_semi").select("part", "value", "fp", "node").withColumn("part2", parts)
+    last = index.agg(F.max("part")).first()[0]
+    fine = thick.withColumn("part2", F.when(F.col("part2") > F.lit(last), 0).otherwise(F.col("part2"))).join(other, ["fp", "part2"])
+    for keys, members in ((["part", "value"], thick), (["part", "value", "value2"], fine)):
+        least = members.groupBy(*keys).agg(F.min(F.struct("node", "fp")).alias("least"))
+        met = members.join(least.select(*keys, F.col("least.node").alias("node2"), F.col("least.fp").alias("fp2")), keys)
+        found = found.union(met.where((F.col("node") != F.col("node2")) & near).select(*pair))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def alike_links(pairs: DataFrame, docs: DataFrame, least: float = LIKE, shingle: int = 5) -> DataFrame:
+    """The pairs (a, b) of which the texts in docs (doc_id, text) have a likeness of `least` or more. Only texts that occur
+    in a pair are shuffled."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = written(docs.join(asked, "doc_id", "left_semi"), "simhash-texts")
+    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("left")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("right")), "b")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = [likeness(x.as_py(), y.as_py(), shingle) >= least for x, y in zip(b.column(2), b.column(3), strict=True)]
+            yield b.select([0, 1]).filter(pa.array(good, type=pa.bool_()))
+
+    return both.select("a", "b", "left", "right").mapInArrow(verify, "a long, b long")
+
+
 def midpoint_links(thick: DataFrame, tau: int) -> DataFrame:
     """Links from each node to the smallest at each of its midpoints; for a tau of 2 or 3, or 1 or 0."""
     if tau > 3:
@@ -221,3 +284,33 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, tau: int = 2, *, id_col: s
     labels = components(near_links(known, tau)).withColumnRenamed("id", "node")
     grouped = written(distinct.join(labels, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")), "simhash-groups")
     return marked.join(grouped, "fp").select("doc_id", "fp", "component_id")
+
+
+def apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are not in one component of the links, written."""
+    groups = written(components(links), "simhash-groups")
+    side = lambda name: groups.select(F.col("id").alias(name), F.col("component").alias(f"group_{name}"))
+    known = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return written(known.where(F.coalesce("group_a", "a") != F.coalesce("group_b", "b")).select("a", "b"), "simhash-apart")
+
+
+def near_copies(docs: DataFrame, least: float = LIKE, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Documents by group of near copies: doc_id, component_id (the smallest id reachable). Linked are fingerprints within 2
+    bits, as in simhash_groups, and texts whose five-word shingles have a likeness of `least` or more that the wide search
+    meets: all such within WIDE bits, most of the others. Each text is compared with the smallest that it met first, and
+    only what is still in different groups is compared further, so a large group costs one comparison for each text.
+
+    Nulls, empty texts, repeated rows, empty tables and other columns are treated as in simhash_groups.
+    """
+    texts = pick(docs, doc_id=id_col, text=text_col)
+    marked = written(fingerprints(texts), "simhash")
+    distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-distinct")
+    known = distinct.where("node is not null")
+    close = written(near_links(known), "simhash-close")
+    pairs = written(wide_candidates(known), "simhash-wide")
+    first = written(alike_links(apart(pairs, close).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts, least), "simhash-alike")
+    linked = close.union(first)
+    rest = alike_links(apart(pairs, linked), texts, least)
+    labels = components(linked.union(rest)).withColumnRenamed("id", "node")
+    grouped = written(distinct.join(labels, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")), "simhash-groups")
+    return marked.join(grouped, "fp").select("doc_id", "component_id")

@@ -10,7 +10,7 @@ from tessera.llm.common import pick
 from tessera.llm.language import fit_language, keep_identified
 from tessera.llm.mixing import mix_documents
 from tessera.llm.secrets import redact
-from tessera.llm.simhash import simhash_groups
+from tessera.llm.simhash import near_copies
 from tessera.llm.training import fold
 
 
@@ -25,9 +25,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, least: flo
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest id. Of rows that repeat an id one stays; rows
+    """One document of each group of near copies (five-word shingles alike to 0.8, or fingerprints within 2 bits): that with the smallest id. Of rows that repeat an id one stays; rows
     without an id stay."""
-    keep = simhash_groups(docs).where("doc_id = component_id").select("doc_id")
+    keep = near_copies(docs).where("doc_id = component_id").select("doc_id")
     repeated = not keep.groupBy("doc_id").count().where("count > 1").isEmpty()
     plain, key = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))]), f"_c{docs.columns.index('doc_id')}"
     kept = plain.join(keep, F.col(key) == F.col("doc_id"), "left_semi")

@@ -8,7 +8,7 @@ def test_stages_keep_the_columns_and_take_effect(spark, tmp_path):
     rows = [(i, f"The text number {i} is about the {i * 7} things that people of the town have made, and what they did with them in year {1900 + i}.", "en", f"s{i % 3}") for i in range(60)]
     rows += [(i, f"Der Text Nummer {i} ist über die {i * 5} Dinge, die sich in der Stadt nicht ändern, und was mit ihnen auf der Straße geschah.", "de", f"s{i % 3}") for i in range(60, 120)]
     rows += [(200 + i, rows[i][1], "en", "s0") for i in range(10)]  # copies
-    rows += [(300, "1234 5678 !!!", "en", "s0"), (301, None, None, "s1"), (302, rows[1][1] + ' token = "0123456789abcdef0123"', "en", "s1")]
+    rows += [(300, "1234 5678 !!!", "en", "s0"), (301, None, None, "s1"), (302, 'The people of the harbour keep all of their boats in this place over winter. token = "0123456789abcdef0123"', "en", "s1"), (303, rows[2][1] + " Again.", "en", "s1")]
     docs = spark.createDataFrame([(i, t, lang, s, None if t is None else len(t)) for i, t, lang, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
     kept = []
     for name, stage in corpus_pipeline.STAGES:
@@ -21,9 +21,9 @@ def test_stages_keep_the_columns_and_take_effect(spark, tmp_path):
     language, dedup, secrets, mixing, tokens = kept
     assert {r["doc_id"] for r in language} == {i for i, *_ in rows} - {300, 301}
     fps = {}
-    for r in language:
+    for r in sorted(language, key=lambda r: r["doc_id"]):
         fps.setdefault(simhash_text(r["text"]), r["doc_id"])
-    assert {r["doc_id"] for r in dedup} <= set(fps.values()) and not {r["doc_id"] for r in dedup} & set(range(200, 210))
+    assert {r["doc_id"] for r in dedup} <= set(fps.values()) and not {r["doc_id"] for r in dedup} & {*range(200, 210), 303}
     said = {r["doc_id"]: r["text"] for r in secrets}
     assert said[302].endswith('token = "[assign]"') and said[5] == rows[5][1]
     assert {r["doc_id"] for r in mixing} <= set(said) and len(tokens) == len(mixing)
