@@ -7,12 +7,12 @@ from itertools import accumulate, combinations
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.llm.alike import alike_links, gram_sets
 from tessera.llm.common import map_texts, pick, written
 from tessera.llm.components import components
 
@@ -23,8 +23,8 @@ DENSE = 64
 PROBE_COST = 1.0
 #: Fingerprints for each value of a part that are aimed at; more make the parts wider.
 AIM = 8
-#: Bits within which a wide search finds all pairs, bits up to which it compares the texts of what it meets, and the share
-#: of five-word shingles that makes them near copies. Near copies at that share differ in 2 to 11 bits of 64.
+#: Bits within which a wide search finds all pairs outside crowded buckets, bits up to which it pairs what it meets, and the
+#: share of five-word shingles that makes texts near copies, which near_copies finds without fingerprints.
 WIDE, REACH, LIKE = 7, 12, 0.8
 
 
@@ -221,8 +221,8 @@ def likeness(left: str | None, right: str | None, shingle: int = 5) -> float:
 
 
 def wide_candidates(distinct: DataFrame, tau: int = WIDE, reach: int = REACH, dense: int = DENSE) -> DataFrame:
-    """Pairs (a, b) of nodes, a < b, to compare by their texts: all within `tau` bits, and what the same probes meet up to
-    `reach`. In a bucket of over `dense` fingerprints each one is paired with the smallest node there and with the
+    """Pairs (a, b) of nodes, a < b, to compare by their texts: all within `tau` bits outside crowded buckets, and what the
+    same probes meet up to `reach`. A proposal only, which near_copies doesn't rest on. In a bucket of over `dense` fingerprints each one is paired with the smallest node there and with the
     smallest of those that have its value in the next part too, in place of all: the members of a large group then hang
     together over the many buckets that they share, and pairs grow with the fingerprints."""
     rows = probe_rows(distinct, tau, most=2)
@@ -244,21 +244,6 @@ def wide_candidates(distinct: DataFrame, tau: int = WIDE, reach: int = REACH, de
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def alike_links(pairs: DataFrame, docs: DataFrame, least: float = LIKE, shingle: int = 5) -> DataFrame:
-    """The pairs (a, b) of which the texts in docs (doc_id, text) have a likeness of `least` or more. Only texts that occur
-    in a pair are shuffled."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = written(docs.join(asked, "doc_id", "left_semi"), "simhash-texts")
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("left")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("right")), "b")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            good = [likeness(x.as_py(), y.as_py(), shingle) >= least for x, y in zip(b.column(2), b.column(3), strict=True)]
-            yield b.select([0, 1]).filter(pa.array(good, type=pa.bool_()))
-
-    return both.select("a", "b", "left", "right").mapInArrow(verify, "a long, b long")
-
-
 def midpoint_links(thick: DataFrame, tau: int) -> DataFrame:
     """Links from each node to the smallest at each of its midpoints; for a tau of 2 or 3, or 1 or 0."""
     if tau > 3:
@@ -286,31 +271,26 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, tau: int = 2, *, id_col: s
     return marked.join(grouped, "fp").select("doc_id", "fp", "component_id")
 
 
-def apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are not in one component of the links, written."""
-    groups = written(components(links), "simhash-groups")
-    side = lambda name: groups.select(F.col("id").alias(name), F.col("component").alias(f"group_{name}"))
-    known = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
-    return written(known.where(F.coalesce("group_a", "a") != F.coalesce("group_b", "b")).select("a", "b"), "simhash-apart")
-
-
 def near_copies(docs: DataFrame, least: float = LIKE, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents by group of near copies: doc_id, component_id (the smallest id reachable). Linked are fingerprints within 2
-    bits, as in simhash_groups, and texts whose five-word shingles have a likeness of `least` or more that the wide search
-    meets: all such within WIDE bits, most of the others. Each text is compared with the smallest that it met first, and
-    only what is still in different groups is compared further, so a large group costs one comparison for each text.
+    bits, as in simhash_groups, and all texts whose five-word shingles have a likeness of `least` or more; see
+    alike_links, which leaves out no pair.
 
     Nulls, empty texts, repeated rows, empty tables and other columns are treated as in simhash_groups.
     """
     texts = pick(docs, doc_id=id_col, text=text_col)
-    marked = written(fingerprints(texts), "simhash")
-    distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-distinct")
-    known = distinct.where("node is not null")
-    close = written(near_links(known), "simhash-close")
-    pairs = written(wide_candidates(known), "simhash-wide")
-    first = written(alike_links(apart(pairs, close).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts, least), "simhash-alike")
-    linked = close.union(first)
-    rest = alike_links(apart(pairs, linked), texts, least)
-    labels = components(linked.union(rest)).withColumnRenamed("id", "node")
-    grouped = written(distinct.join(labels, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")), "simhash-groups")
-    return marked.join(grouped, "fp").select("doc_id", "component_id")
+    sets = gram_sets(texts)
+    distinct = written(sets.groupBy("content").agg(F.min("doc_id").alias("node")), "alike-distinct")
+    nodes = sets.join(distinct.where("node is not null").withColumnRenamed("node", "doc_id"), ["content", "doc_id"], "left_semi").withColumnRenamed("doc_id", "node")
+    if not nodes.groupBy("content").count().where("count > 1").isEmpty():  # rows that repeat
+        nodes = nodes.dropDuplicates(["content"])
+    nodes = written(nodes, "alike-nodes")
+    marked = written(fingerprints(texts), "simhash").where("doc_id is not null")
+    known = written(marked.groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-distinct")
+    same = marked.join(known, "fp").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    links = alike_links(nodes, least).union(near_links(known)).union(same)
+    # every id of a content is its node
+    links = links.union(sets.where("doc_id is not null").join(distinct, "content").select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
+    labels = components(links).withColumnRenamed("id", "node")
+    grouped = written(distinct.join(labels, "node", "left").select("content", F.coalesce("component", "node").alias("component_id")), "alike-components")
+    return sets.join(grouped, "content").select("doc_id", "component_id")
