@@ -272,9 +272,9 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, tau: int = 2, *, id_col: s
 
 
 def near_copies(docs: DataFrame, least: float = LIKE, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents by group of near copies: doc_id, component_id (the smallest id reachable). Linked are fingerprints within 2
-    bits, as in simhash_groups, and all texts whose five-word shingles have a likeness of `least` or more; see
-    alike_links, which leaves out no pair.
+    """Documents by group of near copies: doc_id, component_id (the smallest id reachable). Linked are all
+    texts whose five-word shingles have a likeness of `least` or more, and no others, whatever their fingerprints; see
+    alike_links, which leaves out no pair. Texts with the same set of shingles are one node, so copies make no pairs.
 
     Nulls, empty texts, repeated rows, empty tables and other columns are treated as in simhash_groups.
     """
@@ -285,12 +285,9 @@ def near_copies(docs: DataFrame, least: float = LIKE, *, id_col: str = "doc_id",
     if not nodes.groupBy("content").count().where("count > 1").isEmpty():  # rows that repeat
         nodes = nodes.dropDuplicates(["content"])
     nodes = written(nodes, "alike-nodes")
-    marked = written(fingerprints(texts), "simhash").where("doc_id is not null")
-    known = written(marked.groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-distinct")
-    same = marked.join(known, "fp").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    links = alike_links(nodes, least).union(near_links(known)).union(same)
-    # every id of a content is its node
-    links = links.union(sets.where("doc_id is not null").join(distinct, "content").select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
-    labels = components(links).withColumnRenamed("id", "node")
+    links = alike_links(nodes, least)
+    # an id that repeats with another text holds both texts' groups together
+    same = sets.where("doc_id is not null").join(distinct, "content").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    labels = components(links.union(same)).withColumnRenamed("id", "node")
     grouped = written(distinct.join(labels, "node", "left").select("content", F.coalesce("component", "node").alias("component_id")), "alike-components")
     return sets.join(grouped, "content").select("doc_id", "component_id")

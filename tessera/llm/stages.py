@@ -25,8 +25,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, least: flo
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles alike to 0.8, or fingerprints within 2 bits): that with the smallest id. Of rows that repeat an id one stays; rows
-    without an id stay."""
+    """One document of each group of near copies (five-word shingles alike to 0.8): that with the smallest id. Of rows that
+    repeat an id one stays; rows without an id stay."""
     keep = near_copies(docs).where("doc_id = component_id").select("doc_id")
     repeated = not keep.groupBy("doc_id").count().where("count > 1").isEmpty()
     plain, key = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))]), f"_c{docs.columns.index('doc_id')}"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.alike import alike_links, gram_sets
 from tessera.llm.components import components
-from tessera.llm.simhash import likeness, near_copies
+from tessera.llm.simhash import likeness, near_copies, simhash_text
 
 
 def words(rng, n):
@@ -62,3 +62,14 @@ def test_a_large_group_is_not_compared_pair_by_pair(spark):
     links = alike_links(sets, 0.8, 8)
     assert links.count() < 20 * len(rows)
     assert components(links).agg(F.countDistinct("component"), F.count("*")).first() == (1, 300)
+
+
+def test_texts_of_one_fingerprint_are_compared_too(spark):
+    """A line that repeats drowns the rest of a fingerprint, not of a set of shingles."""
+    rng = random.Random(7)
+    line = " ".join(words(rng, 11) + ["\n"])
+    rows = [(i, line * 60 + " ".join(words(rng, 100))) for i in range(3)]
+    rows.append((9, rows[1][1] + " more"))
+    assert len({simhash_text(t) for _, t in rows}) < len(rows)
+    got = {r["doc_id"]: r["component_id"] for r in near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 9: 1}
