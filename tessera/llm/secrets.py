@@ -19,9 +19,10 @@ BASE = (
 #: The same as hex, quicker: a run of too few characters can't hold a longer one.
 _HEX = re.compile(r"[0-9a-f]{16,}")
 #: Words before a string that make its context sensitive.
-SENSITIVE = re.compile(r"auth|bearer|credential|passphrase|passw|passcode|\bpwd|secret|token|private|access|api|signing|session|client|license.?key|\bkey\b|\bpin\b", re.I | re.A)
-#: What can be a secret; it must also have a letter and a digit.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
+SENSITIVE = re.compile(r"auth|bearer|credential|passphrase|passw|passcode|(?<![a-z])pwd|secret|token|private|access|api|signing|session|client|license.?key|(?<![a-z0-9])key(?![a-z0-9])|(?<![a-z0-9])pin(?![a-z0-9])", re.I | re.A)
+#: What can be a secret, of LEAST characters or more; signs of equality within it end a name.
+CANDIDATE, LEAST = re.compile(r"[A-Za-z0-9+/_=.-]{16,}"), 16
+_ASSIGNED = re.compile(r"=+(?=[^=])")
 #: Identifiers that code and configuration are full of: the dictionary that a compressor starts with.
 IDENTIFIERS = (
     "import from class return function const static public private void string number boolean object array default export require module "
@@ -67,20 +68,47 @@ class Novelty:
         return (self.size(around + text[start:end]) - self.size(around)) / (end - start)
 
 
+def mixed(word: str) -> bool:
+    """If a string has letters, and digits or two letters of each case: long words are as novel as letters at random."""
+    return any(c.isalpha() for c in word) and (any(c.isdigit() for c in word) or min(sum(c.isupper() for c in word), sum(c.islower() for c in word)) > 1)
+
+
+def candidates(text: str) -> list[tuple[int, int]]:
+    """Where the strings are that can be a secret: what stands on either side of a sign of equality that is no padding is
+    a string of its own, so that a name is context."""
+    found = []
+    for m in CANDIDATE.finditer(text):
+        at = m.start()
+        for cut in [*_ASSIGNED.finditer(m[0]), None]:
+            s, e = at, m.end() if cut is None else m.start() + cut.start()
+            if e - s >= LEAST and mixed(text[s:e]):
+                found.append((s, e))
+            at = m.end() if cut is None else m.start() + cut.end()
+    return found
+
+
+def uncovered(text: str, start: int, end: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The parts of text[start:end] outside the spans `taken` (sorted) that have a letter or digit."""
+    parts, at = [], start
+    for a, b in taken:
+        if a < end and at < b:
+            if a > at:
+                parts.append((at, a))
+            at = max(at, b)
+    parts.append((at, end))
+    return [(a, b) for a, b in parts if any(c.isalnum() for c in text[a:b])]
+
+
 def spans_of(text: str | None, novelty: Novelty, novel: float = NOVEL) -> list[tuple[str, int, int, int, float | None]]:
     """All spans of a text (kind, start, end, start of the value, novelty), by start, then kind."""
     if not text:
         return []
     found = [(*s, None) for s in base_spans(text)]
     taken = sorted((s[1], s[2]) for s in found)
-    for m in CANDIDATE.finditer(text):
-        s, e = m.span()
-        word = m[0]
-        if any(a < e and s < b for a, b in taken) or not (any(c.isdigit() for c in word) and any(c.isalpha() for c in word)):
-            continue
-        before = text[max(0, s - BEFORE) : s].rpartition("\n")[2]
-        if SENSITIVE.search(before) and (cost := novelty.of(text, s, e)) >= novel:
-            found.append(("novel", s, e, s, cost))
+    for s, e in candidates(text):
+        parts = uncovered(text, s, e, taken)
+        if parts and SENSITIVE.search(text[max(0, s - BEFORE) : s]) and (cost := novelty.of(text, s, e)) >= novel:
+            found += [("novel", a, b, a, cost) for a, b in parts]
     return sorted(found, key=lambda x: (x[1], ORDER[x[0]], x[2]))
 
 
@@ -88,9 +116,9 @@ def find_secrets(docs: DataFrame, novel: float = NOVEL, *, id_col: str = "doc_id
     """(doc_id, spans) for each whole text: kind, start and end in code points (end exclusive), where the value starts,
     and for the kind novel its marginal compressed bytes for each character.
 
-    A candidate is a string of 16 or more characters with letters and digits in it that no base kind covers, with a
-    sensitive word up to BEFORE characters before it on its line. zstandard, primed with a dictionary of identifiers,
-    compresses the text around it with and without it; at `novel` or more bytes a character it is reported.
+    A candidate is a string of 16 or more characters, letters and digits or letters of both cases, with a sensitive word up to
+    BEFORE characters before it, as in NAME=value or on the line above. zstandard, primed with a dictionary of identifiers, compresses the
+    text around it with and without it; at `novel` or more bytes a character it is reported, save what a base kind covers.
 
     Null and empty texts have no spans. Rows that repeat come back each; an empty table gives no rows; other columns
     are ignored.

@@ -51,3 +51,16 @@ def test_redaction(spark):
     assert got[1]["text"] == 'token = "[assign]" x' and got[1]["n_chars"] == len(got[1]["text"])
     assert got[2]["text"] is None and got[3]["text"] == "plain" and redact(df).columns == df.columns
     assert redact_text("ab secret", [("hex", 3, 9, 3, None), ("assign", 0, 9, 5, None)]) == "ab [hex]"
+
+
+def test_names_lines_above_letters_only_and_the_rest_of_a_part():
+    m = Novelty()
+    said = lambda t: {t[s[3] : s[2]] for s in spans_of(t, m)}
+    secret = "zQ8vXk2LmN4pRt7wYb1C"
+    for before in ("export AWS_SECRET_ACCESS_KEY=", "DB_PWD=", "session_id=", "the private key:\n", "a=b client_id=x secret_v=="):
+        assert said(before + secret) == {secret}, before
+    assert said("session_id=" + secret + "==") == {secret + "=="}
+    assert said("credential zQpvXkYLmNfpRtTwYbJC") == {"zQpvXkYLmNfpRtTwYbJC"}
+    mixed = "credential zQ8vXk2LmN4p0123456789abcdefRtYwZb1Cq"
+    assert redact_text(mixed, spans_of(mixed, m)) == "credential [novel][hex][novel]"
+    assert not said("the access_token of client = responsibilities_of_the_client")
