@@ -62,10 +62,15 @@ class Novelty:
     def size(self, text: str) -> int:
         return len(self.compressor.compress(text.encode("utf-8", "replace")))
 
-    def of(self, text: str, start: int, end: int) -> float:
-        """Marginal compressed bytes for each character of text[start:end], after the code around it."""
-        around = text[max(0, start - AROUND) : start] + " " + text[end : end + AROUND]
-        return (self.size(around + text[start:end]) - self.size(around)) / (end - start)
+    def of(self, text: str, start: int, end: int, since: int | None = None) -> float:
+        """Marginal compressed bytes for each character of text[start:end], after the code around it, from which the
+        other occurrences of the string are taken out that begin at `since` or later."""
+        word, n = text[start:end], end - start
+        since = start if since is None else since
+        low = max(0, start - AROUND - n)
+        left = text[low : max(low, since)] + text[max(low, since) : start].replace(word, "")
+        around = left[-AROUND:] + " " + text[end : end + AROUND + n].replace(word, "")[:AROUND]
+        return (self.size(around + word) - self.size(around)) / n
 
 
 def mixed(word: str) -> bool:
@@ -105,10 +110,15 @@ def spans_of(text: str | None, novelty: Novelty, novel: float = NOVEL) -> list[t
         return []
     found = [(*s, None) for s in base_spans(text)]
     taken = sorted((s[1], s[2]) for s in found)
+    places: dict[str, list[tuple[int, int]]] = {}
     for s, e in candidates(text):
-        parts = uncovered(text, s, e, taken)
-        if parts and SENSITIVE.search(text[max(0, s - BEFORE) : s]) and (cost := novelty.of(text, s, e)) >= novel:
-            found += [("novel", a, b, a, cost) for a, b in parts]
+        places.setdefault(text[s:e], []).append((s, e))
+    for at in places.values():
+        open_ = [(s, e) for s, e in at if uncovered(text, s, e, taken)]
+        named = [(s, e) for s, e in open_ if SENSITIVE.search(text[max(0, s - BEFORE) : s])]
+        costs = (novelty.of(text, s, e, named[0][0]) for s, e in named)
+        if cost := next((c for c in costs if c >= novel), None):
+            found += [("novel", a, b, a, cost) for s, e in open_ for a, b in uncovered(text, s, e, taken)]
     return sorted(found, key=lambda x: (x[1], ORDER[x[0]], x[2]))
 
 
@@ -119,6 +129,8 @@ def find_secrets(docs: DataFrame, novel: float = NOVEL, *, id_col: str = "doc_id
     A candidate is a string of 16 or more characters, letters and digits or letters of both cases, with a sensitive word up to
     BEFORE characters before it, as in NAME=value or on the line above. zstandard, primed with a dictionary of identifiers, compresses the
     text around it with and without it; at `novel` or more bytes a character it is reported, save what a base kind covers.
+    Its other occurrences are not measured against, and are reported too. Only a string that stands in plain text before
+    its first sensitive word counts as known from there.
 
     Null and empty texts have no spans. Rows that repeat come back each; an empty table gives no rows; other columns
     are ignored.

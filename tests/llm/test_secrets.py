@@ -64,3 +64,10 @@ def test_names_lines_above_letters_only_and_the_rest_of_a_part():
     mixed = "credential zQ8vXk2LmN4p0123456789abcdefRtYwZb1Cq"
     assert redact_text(mixed, spans_of(mixed, m)) == "credential [novel][hex][novel]"
     assert not said("the access_token of client = responsibilities_of_the_client")
+
+
+def test_a_secret_that_is_written_again_is_found_everywhere():
+    m = Novelty()
+    secret = "zQ8vXk2LmN4pRt7wYb1C"
+    for t in (f"session_id={secret}\n" * 40, f"credential {secret} and {'plain words in between ' * 5}{secret}", f"credential {secret} client {secret}"):
+        assert secret not in redact_text(t, spans_of(t, m)) and len(spans_of(t, m)) == t.count(secret)
