@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 from dataclasses import dataclass, field
 from itertools import combinations
@@ -31,6 +32,8 @@ FAMILIES = {
 }
 FAMILY_OF = {code: name for name, codes in FAMILIES.items() for code in codes.split()}
 _LETTER = re.compile(r"[^\W\d_]")
+#: Lengths of texts, as powers of 2, for which chance is measured, and texts of letters at random for each.
+LENGTHS, DRAWN = range(4, 13), 32
 
 
 def features(text: str) -> np.ndarray:
@@ -88,6 +91,8 @@ class LanguageModel:
     families: dict[str, list[str]] = field(default_factory=dict)
     family_lines: dict[str, Line] = field(default_factory=dict)
     pair_lines: dict[tuple[str, str], Line] = field(default_factory=dict)
+    profiles: dict[str, np.ndarray] = field(default_factory=dict)
+    chances: dict[str, np.ndarray] = field(default_factory=dict)
 
     def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
         """Language and score for each row of features."""
@@ -118,9 +123,19 @@ class LanguageModel:
         return out.tolist(), np.clip(score, 0.0, 1.0)
 
 
-def fit_language(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, most_languages: int = MOST_LANGUAGES) -> LanguageModel:
+def chance(profile: np.ndarray, texts: list[str]) -> np.ndarray:
+    """How much texts of a language's letters, drawn at random, resemble its profile, for each of LENGTHS: 19 of 20 less."""
+    letters = sorted({c for t in texts for c in t.lower() if c.isalpha()})
+    rng = random.Random(0)
+    word = lambda: "".join(rng.choices(letters, k=rng.randrange(1, 10)))
+    drawn = [[" ".join(word() for _ in range(2**k // 4 + 1))[: rng.randrange(2**k, 2 ** (k + 1))] for _ in range(DRAWN)] for k in LENGTHS]
+    return np.array([np.quantile([features(t) @ profile for t in some], 0.95) for some in drawn])
+
+
+def fit_language(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, most_languages: int = MOST_LANGUAGES, chances: bool = False) -> LanguageModel:
     """A model from (doc_id, label, text): a bounded sample of `sample_rows` rows of each of the `most_languages` most
-    frequent labels at most. Families are told apart one against the rest, the languages of a family one against one."""
+    frequent labels at most. Families are told apart one against the rest, the languages of a family one against one. With
+    `chances`, the model also knows what texts of each language resemble, and texts by chance."""
     rows = sample_by_label(labelled.select("doc_id", "label"), labelled.select("doc_id", "text"), sample_rows, most_languages).select("doc_id", "label", excerpts(F.col("text")).alias("text")).toPandas()
     rows = rows[np.array([bool(t) and bool(_LETTER.search(t)) for t in rows["text"]], dtype=bool)].sort_values(["label", "doc_id"], kind="stable")
     if rows.empty:
@@ -135,19 +150,32 @@ def fit_language(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, most_langu
         for a, b in combinations(langs, 2):
             at = (label == a) | (label == b)
             pairs[a, b] = fit_line(x[at], label[at] == a)
-    return LanguageModel(families, lines, pairs)
+    if not chances:
+        return LanguageModel(families, lines, pairs)
+    sums = {v: x[label == v].sum(axis=0) for v in sorted(set(label))}
+    profiles = {v: p / np.linalg.norm(p) for v, p in sums.items()}
+    return LanguageModel(families, lines, pairs, profiles, {v: chance(p, rows["text"][label == v].tolist()) for v, p in profiles.items()})
 
 
 def _predicted(model: LanguageModel, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-    lang, score = ["und"] * len(texts), np.zeros(len(texts))
+    return _judged(model, texts)[:2]
+
+
+def _judged(model: LanguageModel, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language and score of each text, and whether it resembles its language more than by chance, if the model knows."""
+    lang, score, better = ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), dtype=bool)
     known = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
     for at in range(0, len(known), 256):
         some = known[at : at + 256]
-        found, s = model.predict(np.stack([features(texts[i]) for i in some]))
-        for i, v in zip(some, found, strict=True):
+        x = np.stack([features(texts[i]) for i in some])
+        found, s = model.predict(x)
+        for k, (i, v) in enumerate(zip(some, found, strict=True)):
             lang[i] = v
+            if v in model.profiles:
+                size = min(max(len(texts[i]).bit_length() - 1, LENGTHS[0]), LENGTHS[-1])
+                better[i] = x[k] @ model.profiles[v] > model.chances[v][size - LENGTHS[0]]
         score[some] = s
-    return lang, score
+    return lang, score, better
 
 
 def identify(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -158,13 +186,13 @@ def identify(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", t
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.3, *, text_col: str = "text") -> DataFrame:
-    """The rows whose language is known, as they are: without those that have no letter, and those whose score is under
-    `least`."""
+    """The rows whose language is known, as they are: without those that have no letter, those whose score is under
+    `least`, and, if the model knows chances, those that resemble their language no more than letters at random do."""
     at = docs.columns.index(text_col)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(b: pa.RecordBatch) -> pa.RecordBatch:
-        lang, score = _predicted(sent.value, b.column(at).to_pylist())
-        return b.filter(pa.array((np.array(lang, dtype=object) != "und") & (score >= least)))
+        lang, score, better = _judged(sent.value, b.column(at).to_pylist())
+        return b.filter(pa.array((np.array(lang, dtype=object) != "und") & (score >= least) & better))
 
     return map_rows(docs, text_col, work)

@@ -16,12 +16,13 @@ from tessera.llm.training import fold
 
 def language_model(docs: DataFrame):
     """Learned from the texts and known languages of three folds of four."""
-    return fit_language(pick(docs, doc_id="doc_id", label="lang", text="text").where("label is not null").where(fold(F.col("doc_id"), 4) != 2))
+    return fit_language(pick(docs, doc_id="doc_id", label="lang", text="text").where("label is not null").where(fold(F.col("doc_id"), 4) != 2), chances=True)
 
 
-def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.25) -> DataFrame:
-    """Without documents that have no letter, or whose language is told no better than by chance."""
-    return keep_identified(docs, language_model(docs), least)
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents that have no letter, or that resemble the language that they are told to be in no more than letters at random
+    do, however many languages there are."""
+    return keep_identified(docs, language_model(docs), 0.0)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
