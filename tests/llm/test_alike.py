@@ -73,3 +73,16 @@ def test_texts_of_one_fingerprint_are_compared_too(spark):
     assert len({simhash_text(t) for _, t in rows}) < len(rows)
     got = {r["doc_id"]: r["component_id"] for r in near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {0: 0, 1: 1, 2: 2, 9: 1}
+
+
+def test_recall_at_four_fifths_is_whole_however_many_bits_apart(spark):
+    rng = random.Random(9)
+    rows, far = [], 0
+    for k in range(60):
+        text = words(rng, 300)
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(edited(rng, text, 6)))]
+        far += (simhash_text(rows[-2][1]) ^ simhash_text(rows[-1][1])).bit_count() > 7
+        assert likeness(rows[-2][1], rows[-1][1]) >= 0.8
+    assert far > 10
+    got = {r["doc_id"]: r["component_id"] for r in near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
