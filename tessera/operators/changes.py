@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.operators.model import Snapshot
-from tessera.operators.paths import Path, follow_back
+from tessera.operators.paths import Path, follow_back, follow_pairs, invert
 
 #: Kinds of changes.
 CREATE, DELETE, CHANGE = "create", "delete", "change"
@@ -34,6 +34,62 @@ def diff_elements(old: DataFrame, new: DataFrame, field: str, keys: Sequence[str
     return both.where("_side < 3").select(F.when(F.col("_side") == 2, f"add {field}").otherwise(f"remove {field}").alias("op"), *keys)
 
 
+def diff_lists(old: DataFrame, new: DataFrame, field: str) -> DataFrame:
+    """(_id, op, at, old, new) between two states of a list field: replace, add and remove at places from 0, place by place, or clear
+    of a list that is empty now. Adds come in the order of their places; removes are from the end. Null counts as empty."""
+    a = old.select("_id", F.col(field).alias("_a"))
+    both = a.join(new.select("_id", F.col(field).alias("_b")), "_id")
+    none = F.array().cast(a.schema["_a"].dataType)
+    both = both.withColumns({"_a": F.coalesce("_a", none), "_b": F.coalesce("_b", none)})
+    places = F.sequence(F.lit(0), F.greatest(F.size("_a"), F.size("_b")) - 1)
+    events = F.transform(places, lambda i: F.struct(F.when(i >= F.size("_a"), "add").when(i >= F.size("_b"), "remove").when(~F.get("_a", i).eqNullSafe(F.get("_b", i)), "replace").alias("op"), i.alias("at"), F.get("_a", i).alias("old"), F.get("_b", i).alias("new")))
+    cleared = F.array(F.struct(F.lit("clear").alias("op"), F.lit(None).cast("int").alias("at"), F.lit(None).cast(a.schema["_a"].dataType.elementType).alias("old"), F.lit(None).cast(a.schema["_a"].dataType.elementType).alias("new")))
+    found = F.when(F.size("_a") + F.size("_b") == 0, F.slice(cleared, 1, 0)).when(F.size("_b") == 0, cleared).otherwise(F.filter(events, lambda e: e["op"].isNotNull()))
+    return both.select("_id", F.explode(found).alias("e")).select("_id", "e.op", "e.at", "e.old", "e.new")
+
+
+def diff_maps(old: DataFrame, new: DataFrame, field: str) -> DataFrame:
+    """(_id, op, key, old, new) between two states of a map field: add, remove and replace of entries, or clear of a map that is
+    empty now. By one full join of the entries. Null counts as empty."""
+    there = old.select("_id").join(new.select("_id", (F.coalesce(F.size(field), F.lit(0)) <= 0).alias("_empty")), "_id")
+    a = old.select("_id", F.explode(field).alias("key", "old"))
+    b = new.select("_id", F.explode(field).alias("key", "new"))
+    both = a.withColumn("_a", F.lit(True)).join(b.withColumn("_b", F.lit(True)), ["_id", "key"], "full").join(there, "_id")
+    op = F.when(F.col("_a").isNull(), "add").when(F.col("_b").isNull(), "remove").when(~F.col("old").eqNullSafe(F.col("new")), "replace")
+    found = both.where("not _empty").withColumn("op", op).where("op is not null").select("_id", "op", "key", "old", "new")
+    gone = both.where("_empty").select("_id").distinct().select("_id", F.lit("clear").alias("op"), *[F.lit(None).cast(both.schema[c].dataType).alias(c) for c in ("key", "old", "new")])
+    return found.unionByName(gone)
+
+
+def replay_elements(base: DataFrame, changes: DataFrame, keys: Sequence[str] = ("_id", "element"), value: str | None = None) -> DataFrame:
+    """The elements of a set field, or with `value` the entries of a map field, after changes (seq, op: add, remove, replace or
+    clear, keys..., value): of each element the last change counts, if none of the object's clears came after it."""
+    owner, more = keys[0], [value] if value else []
+    start = base.select(F.lit(None).cast("long").alias("seq"), F.lit("add").alias("op"), *keys, *more)
+    last = start.unionByName(changes.where("op <> 'clear'").select(F.col("seq").cast("long").alias("seq"), "op", *keys, *more))
+    last = last.groupBy(*keys).agg(F.max(F.struct(F.coalesce("seq", F.lit(-(2**63))).alias("seq"), "op", *more)).alias("end"))
+    clears = changes.where("op = 'clear'").groupBy(F.col(owner).alias("_of")).agg(F.max("seq").alias("_cleared"))
+    kept = last.join(clears, F.col(owner) == F.col("_of"), "left").where("end.op <> 'remove' AND (_cleared IS NULL OR end.seq > _cleared)")
+    return kept.select(*keys, *[F.col(f"end.{v}").alias(v) for v in more])
+
+
+def replay_lists(base: DataFrame, changes: DataFrame, field: str) -> DataFrame:
+    """`base` (_id, field) after changes (seq, op: add, remove, replace or clear, _id, at, new) of a list field. Places shift as
+    changes are made, so those of one object are made one after the other, in one row."""
+    steps = changes.groupBy("_id").agg(F.sort_array(F.collect_list(F.struct("seq", "op", "at", "new"))).alias("_steps"))
+    kind = base.schema[field].dataType
+    held = base.join(steps, "_id", "left").withColumn("_list", F.coalesce(field, F.array().cast(kind)))
+
+    def made(held: Column, e: Column) -> Column:
+        head = lambda n: F.slice(held, F.lit(1), n)
+        tail = lambda n: F.slice(held, n + 1, F.greatest(F.size(held) - n, F.lit(0)))
+        put = F.array(e["new"])
+        return F.when(e["op"] == "clear", F.slice(held, 1, 0)).when(e["op"] == "add", F.concat(head(e["at"]), put, tail(e["at"]))).when(e["op"] == "replace", F.concat(head(e["at"]), put, tail(e["at"] + 1))).otherwise(F.concat(head(e["at"]), tail(e["at"] + 1)))
+
+    after = F.when(F.col("_steps").isNull(), F.col(field)).otherwise(F.aggregate("_steps", F.col("_list"), made))
+    return held.select("_id", after.alias(field))
+
+
 def replay(base: DataFrame, changes: DataFrame, field: str) -> DataFrame:
     """`base` (_id, field) after changes (seq, op, _id, value): of each object the last one counts. A created object that
     base lacks appears, a deleted one goes."""
@@ -67,6 +123,25 @@ def notices(snapshot: Snapshot, paths: dict[str, Path], changed: DataFrame) -> D
     return out
 
 
+def told(snapshot: Snapshot, paths: dict[str, Path], changes: DataFrame) -> DataFrame:
+    """(listener, _type, _id, ...) for listeners by name, each with its path, and changes (_id, ...) with what they say, such as op,
+    field, old and new: a row for each change that a listening object is told of. `_id` is the object's that listens, `changed`
+    that which the change is of."""
+    out = None
+    names = [c for c in changes.columns if c != "_id"]
+    for name, path in sorted(paths.items()):
+        start = changes.select("_id").distinct()
+        pairs = follow_pairs(snapshot, invert(snapshot.model, path), start)
+        heard = pairs.join(changes.withColumnRenamed("_id", "_start"), "_start").select(F.lit(name).alias("listener"), "_type", "_id", F.col("_start").alias("changed"), *names)
+        out = heard if out is None else out.unionByName(heard)
+    return out
+
+
+def before_deletion(snapshot: Snapshot, paths: dict[str, Path], deleted: DataFrame) -> DataFrame:
+    """(listener, _type, _id) of who is told that objects (_id) are deleted: by paths through the snapshot that still has them."""
+    return notices(snapshot, paths, deleted)
+
+
 # Sums kept up to date: count, mean and M2, the sum of squared distances from the mean.
 
 

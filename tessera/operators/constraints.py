@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.operators.bounds import Values
+from tessera.operators.graph import dangling
 from tessera.operators.index import IndexView, composite_index, simple_index
 from tessera.operators.model import Snapshot
 
@@ -52,39 +53,54 @@ def singleton_violations(snapshot: Snapshot) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).select(F.col("_type"), "n").where("n > 1")
 
 
+def reference_violations(snapshot: Snapshot) -> DataFrame:
+    """(_type, _id, field, part, to_id, problem) of references that may not be: "type" if an object with that id is there
+    but of no type that the field may refer to, "deleted" if there is none and the field doesn't allow that."""
+    found = dangling(snapshot)
+    there = reduce(DataFrame.unionByName, [f.select(F.col("_id").cast("long").alias("_there")) for f in snapshot.frames.values()]).distinct()
+    held = found.join(there, F.col("to_id") == F.col("_there"), "left")
+    strict = [F.struct(F.lit(t), F.lit(f.name)) for t, kind in snapshot.model.types.items() for f in kind.fields if f.refs and not f.allow_deleted]
+    is_strict = F.struct("_type", "field").isin(*strict) if strict else F.lit(False)
+    problem = F.when(F.col("_there").isNotNull(), "type").when(is_strict, "deleted")
+    return held.withColumn("problem", problem).where("problem is not null").drop("_there")
+
+
 @dataclass(frozen=True)
 class Rule:
-    """A condition that objects of a type must meet. groups: when it counts; early: before the other checks."""
+    """A condition that objects of a type must meet. groups: when it counts; early: before the other checks; stated: one that
+    is stated of a field, and comes before uniqueness."""
 
     type_name: str
     name: str
     holds: Column | Callable[[DataFrame], DataFrame]
     groups: frozenset[str] = frozenset({"default"})
     early: bool = False
+    stated: bool = False
 
 
 def not_null(type_name: str, field: str, **more: Any) -> Rule:
-    return Rule(type_name, f"{field} is missing", F.col(field).isNotNull(), **more)
+    return Rule(type_name, f"{field} is missing", F.col(field).isNotNull(), stated=True, **more)
 
 
 def within(type_name: str, field: str, values: Values, **more: Any) -> Rule:
     """Null passes, as it does for other rules; see not_null."""
-    return Rule(type_name, f"{field} is out of range", F.col(field).isNull() | values.predicate(F.col(field)), **more)
+    return Rule(type_name, f"{field} is out of range", F.col(field).isNull() | values.predicate(F.col(field)), stated=True, **more)
 
 
 def matches(type_name: str, field: str, pattern: str, **more: Any) -> Rule:
-    return Rule(type_name, f"{field} is malformed", F.col(field).rlike(pattern), **more)
+    return Rule(type_name, f"{field} is malformed", F.col(field).rlike(pattern), stated=True, **more)
 
 
 def sized(type_name: str, field: str, low: int, high: int, **more: Any) -> Rule:
     """A collection of low to high elements."""
-    return Rule(type_name, f"{field} has a wrong size", F.size(field).between(low, high) | F.col(field).isNull(), **more)
+    return Rule(type_name, f"{field} has a wrong size", F.size(field).between(low, high) | F.col(field).isNull(), stated=True, **more)
 
 
-def validate(snapshot: Snapshot, rules: Sequence[Rule], groups: Iterable[str] = ("default",), touched: Mapping[str, DataFrame] | None = None) -> DataFrame:
-    """(phase, _type, _id, rule) of what fails, in the order of the checks: 1 early rules, 2 singletons, 3 unique fields
-    and composites, 4 other rules. A condition that is null holds. With `touched` (a DataFrame of _id by type) rules are
-    checked for those objects only."""
+def validate(snapshot: Snapshot, rules: Sequence[Rule], groups: Iterable[str] = ("default",), touched: Mapping[str, DataFrame] | None = None, references: bool = False, steps: bool = False) -> DataFrame:
+    """(phase, _type, _id, rule) of what fails. phase: 1 early rules, 2 singletons, 3 unique fields and composites, 4 other
+    rules. With `steps` also step, the place of the check: 1 early rules, 2 singletons, 3 rules stated of fields and references, 4 uniqueness,
+    5 other rules. A condition that is null holds. With `touched` (a DataFrame of _id by type) rules are checked for those
+    objects only. `references`: whether references are checked too, as phase 4."""
     wanted, parts = set(groups), []
     for r in rules:
         if not r.groups & wanted:
@@ -94,8 +110,8 @@ def validate(snapshot: Snapshot, rules: Sequence[Rule], groups: Iterable[str] =
                 continue
             rows = snapshot.of(t) if touched is None else snapshot.of(t).join(touched[t].select("_id"), "_id", "left_semi")
             failed = r.holds(rows) if callable(r.holds) else rows.where(~F.coalesce(r.holds, F.lit(True)))
-            parts.append(failed.select(F.lit(1 if r.early else 4).alias("phase"), F.lit(t).alias("_type"), F.col("_id").cast("string").alias("_id"), F.lit(r.name).alias("rule")))
-    parts.append(singleton_violations(snapshot).select(F.lit(2).alias("phase"), "_type", F.lit(None).cast("string").alias("_id"), F.lit("singleton").alias("rule")))
+            parts.append(failed.select(F.lit(1 if r.early else 4).alias("phase"), F.lit(1 if r.early else 3 if r.stated else 5).alias("step"), F.lit(t).alias("_type"), F.col("_id").cast("string").alias("_id"), F.lit(r.name).alias("rule")))
+    parts.append(singleton_violations(snapshot).select(F.lit(2).alias("phase"), F.lit(2).alias("step"), "_type", F.lit(None).cast("string").alias("_id"), F.lit("singleton").alias("rule")))
     for t, kind in snapshot.model.types.items():
         if t not in snapshot.frames:
             continue
@@ -104,8 +120,11 @@ def validate(snapshot: Snapshot, rules: Sequence[Rule], groups: Iterable[str] =
                 parts.append(_named(unique_field(snapshot, t, f.name, f.unique_excludes), t, f"unique {f.name}"))
         for name, excludes in kind.unique_composites.items():
             parts.append(_named(unique_composite(snapshot, t, name, excludes), t, f"unique {name}"))
-    return reduce(DataFrame.unionByName, parts)
+    if references:
+        parts.append(reference_violations(snapshot).select(F.lit(4).alias("phase"), F.lit(3).alias("step"), "_type", F.col("_id").cast("string").alias("_id"), F.concat_ws(" ", F.lit("reference"), "field", "problem").alias("rule")))
+    found = reduce(DataFrame.unionByName, parts)
+    return found if steps else found.drop("step")
 
 
 def _named(found: DataFrame, t: str, rule: str) -> DataFrame:
-    return found.select(F.explode("objects").alias("_id")).select(F.lit(3).alias("phase"), F.lit(t).alias("_type"), F.col("_id").cast("string").alias("_id"), F.lit(rule).alias("rule"))
+    return found.select(F.explode("objects").alias("_id")).select(F.lit(3).alias("phase"), F.lit(4).alias("step"), F.lit(t).alias("_type"), F.col("_id").cast("string").alias("_id"), F.lit(rule).alias("rule"))

@@ -94,9 +94,9 @@ def with_new_ids(rows: DataFrame, refs: Iterable[str], ids: DataFrame) -> DataFr
     return rows
 
 
-def dangling(snapshot: Snapshot) -> DataFrame:
-    """References to objects that are missing: _type, _id, field, part, to_id."""
-    refs = references(snapshot)
+def dangling(snapshot: Snapshot, wanted=lambda t, f: True) -> DataFrame:
+    """References, of `wanted` fields, to objects that are missing: _type, _id, field, part, to_id."""
+    refs = references(snapshot, wanted)
     there = reduce(DataFrame.unionByName, [f.select(F.lit(t).alias("to_type"), F.col("_id").cast("long").alias("to_id"), F.lit(True).alias("there")) for t, f in snapshot.frames.items()])
     found = refs.join(there, ["to_type", "to_id"], "left").groupBy("_type", "_id", "field", "part", "to_id").agg(F.max("there").alias("there"))
     return found.where("there is null").drop("there")
@@ -122,17 +122,21 @@ def delete(snapshot: Snapshot, start: DataFrame) -> Deletion:
     """Deletes the objects `start` (_type, _id), and what follows from that.
 
     Whoever refers to a deleted object under DELETE is deleted too, as is what a deleted object refers to under
-    forward_delete. EXCEPTION forbids it, unless the object that refers is deleted itself. NULLIFY makes the reference
-    null (in a collection, a null element, key or value, once), REMOVE takes it out of its collection, IGNORE leaves it.
+    forward_delete. An object goes before those that its deletion brings about. EXCEPTION forbids it while another object
+    that refers is still there, even one that would be deleted later, or as early; an object's reference to itself
+    never does. NULLIFY makes the reference null (in a collection, a null element or value, once), REMOVE takes it out of
+    its collection, IGNORE leaves it.
     """
     node = lambda t, i: F.struct(F.col(t).alias("_type"), F.col(i).alias("_id"))
     back = references(snapshot, lambda t, f: f.on_delete == "DELETE").select(node("to_type", "to_id").alias("src"), node("_type", "_id").alias("dst"))
     on = references(snapshot, lambda t, f: f.forward_delete).select(node("_type", "_id").alias("src"), node("to_type", "to_id").alias("dst"))
     reached = cascade(back.unionByName(on), nodes(start))
-    deleted = cut(reached.select("node._type", "node._id"))
-    gone = deleted.withColumnsRenamed({"_type": "to_type", "_id": "to_id"})
-    refs = references(snapshot, lambda t, f: f.on_delete == "EXCEPTION")
-    blockers = refs.join(gone, ["to_type", "to_id"], "left_semi").join(deleted, list(KEY), "left_anti")
+    timed = cut(reached.select("node._type", "node._id", "distance"))
+    deleted = timed.drop("distance")
+    gone = timed.withColumnsRenamed({"_type": "to_type", "_id": "to_id", "distance": "_then"})
+    refs = references(snapshot, lambda t, f: f.on_delete == "EXCEPTION").where(~((F.col("_type") == F.col("to_type")) & (F.col("_id") == F.col("to_id"))))
+    held = refs.join(gone, ["to_type", "to_id"]).join(timed, list(KEY), "left")
+    blockers = held.where(F.col("distance").isNull() | (F.col("distance") >= F.col("_then"))).drop("distance", "_then")
     after = {}
     for t, frame in snapshot.frames.items():
         left = frame.join(deleted.where(F.col("_type") == t).select("_id"), "_id", "left_anti")
@@ -140,12 +144,12 @@ def delete(snapshot: Snapshot, start: DataFrame) -> Deletion:
             if f.on_delete in ("NULLIFY", "REMOVE"):
                 for part, targets in f.refs.items():
                     types = sorted({x for name in targets for x in snapshot.model.subtypes(name)})
-                    left = _cleared(left, f, part, deleted.where(F.col("_type").isin(*types)).select(F.col("_id").alias("_gone")))
+                    left = cleared(left, f, part, deleted.where(F.col("_type").isin(*types)).select(F.col("_id").alias("_gone")))
         after[t] = left
     return Deletion(deleted, blockers, snapshot.replaced(**after))
 
 
-def _cleared(frame: DataFrame, f: Field, part: str, gone: DataFrame) -> DataFrame:
+def cleared(frame: DataFrame, f: Field, part: str, gone: DataFrame) -> DataFrame:
     """Rows whose references to `gone` are nullified or removed: by a join on the references, so that neither side is
     sent around whole."""
     names = frame.columns

@@ -34,9 +34,19 @@ class IndexView:
         return out.orderBy(*(descending if descending_order else ascending)(*self.columns)) if ordered else out
 
     def as_map(self) -> DataFrame:
-        """Each tuple of values with the sorted set of its targets."""
+        """Each tuple of values with the sorted set of its targets, in one row. Of values that very many objects hold see
+        summary, or pages."""
         return self.entries.groupBy(*self.values).agg(F.sort_array(F.collect_set(self.target)).alias("targets"))
 
+    def pages(self, size: int = 1000) -> DataFrame:
+        """as_map in rows of bounded size: each tuple of values with `page`, from 0, and up to about `size` of its targets, sorted.
+        Targets go to pages by their hash, so that no task has all targets of a value."""
+        entries = self.entries.select(*self.columns).distinct()
+        counts = entries.groupBy(*self.values).agg((F.floor((F.count(self.target) - 1) / size) + 1).alias("_pages")).select(*[F.col(v).alias(f"_{v}") for v in self.values], "_pages")
+        match = reduce(lambda a, b: a & b, [F.col(v).eqNullSafe(F.col(f"_{v}")) for v in self.values])
+        paged = entries.join(counts, match).withColumn("page", F.pmod(F.xxhash64(self.target), F.col("_pages")))
+        return paged.groupBy(*self.values, "page").agg(F.sort_array(F.collect_list(self.target)).alias("targets"))
+
     def summary(self) -> DataFrame:
         """Each tuple of values with the number, the least and the greatest of its targets: as_map without the sets, so
         that a value that most objects hold makes no large row."""
@@ -147,6 +157,15 @@ def composite_index(snapshot: Snapshot, type_name: str, name: str) -> IndexView:
     return IndexView(_union(parts), names)
 
 
+def index_by_number(snapshot: Snapshot, number: int) -> IndexView:
+    """The index of a storage number; see Model.storage_ids."""
+    name = next((n for n, k in snapshot.model.storage_ids().items() if k == number), None)
+    if name is None or "." not in name:
+        raise KeyError(f"no index has the number {number}")
+    t, _, path = name.partition(".")
+    return composite_index(snapshot, t, path) if path in snapshot.model.types[t].composites else simple_index(snapshot, t, path)
+
+
 def in_versions(view: IndexView, versions: DataFrame, *wanted: int) -> IndexView:
     """Only objects of the wanted schema versions; `versions` has (_id, _version)."""
     ids = versions.where(F.col("_version").isin(*wanted)).select("_id")

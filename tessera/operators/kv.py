@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.convert import key_after_prefix
+from tessera.functions.ranges import Cells, number
 
 
 @dataclass(frozen=True)
@@ -33,6 +34,16 @@ class KeyRange:
     def is_prefix(self, p: bytes) -> bool:
         return self == KeyRange.prefix(p)
 
+    def is_single(self) -> bool:
+        """Whether the range of binary keys holds one key."""
+        return self.min is not None and self.max == self.min + b"\x00"
+
+    def compare(self, key: Any) -> int:
+        """-1 if the range lies below a key, 1 if above it, 0 if it holds it."""
+        if self.min is not None and key < self.min:
+            return 1
+        return -1 if self.max is not None and key >= self.max else 0
+
     def predicate(self, key: Column) -> Column:
         out = F.lit(True)
         if self.min is not None:
@@ -63,6 +74,19 @@ class KeyRanges:
     def contains(self, key: Any) -> bool:
         return any(r.contains(key) for r in self.ranges)
 
+    def find(self, key: Any) -> KeyRange | None:
+        """The range that holds a key."""
+        return next((r for r in self.ranges if r.contains(key)), None)
+
+    def seek_higher(self, key: Any) -> Any:
+        """The smallest key from `key` on that may be in the set; None if there is none."""
+        return next((key if r.contains(key) else r.min for r in self.ranges if r.max is None or r.max > key), None)
+
+    def seek_lower(self, key: Any) -> Any:
+        """The smallest upper end at or above which no key below `key` is in the set: keys below it may be. None if no key
+        below `key` is."""
+        return next((key if r.max is None or r.max > key else r.max for r in reversed(self.ranges) if r.min is None or r.min < key), None)
+
     def union(self, other: KeyRanges) -> KeyRanges:
         return KeyRanges([*self.ranges, *other.ranges])
 
@@ -107,13 +131,40 @@ def scan(kv: DataFrame, ranges: KeyRange | KeyRanges, reverse: bool = False, by:
     return kv.where(ranges.predicate(F.col(by))).orderBy(F.desc(by) if reverse else F.asc(by))
 
 
-def coalesced(ranges: DataFrame, by: Iterable[str] = ()) -> DataFrame:
-    """(by, min, max) rows merged where they touch or overlap."""
+def prefixed(kv: DataFrame, prefix: bytes, by: str = "key") -> DataFrame:
+    """The entries whose binary keys have a prefix, which is taken off: a store within a store."""
+    rest = F.substring(F.col(by), F.lit(len(prefix) + 1), F.octet_length(by))
+    return kv.where(KeyRange.prefix(prefix).predicate(F.col(by))).withColumn(by, rest)
+
+
+def coalesced(ranges: DataFrame, by: Iterable[str] = (), per_cell: int = 200_000) -> DataFrame:
+    """(by, min, max) rows merged where they touch or overlap.
+
+    Ranges are dealt by `by` and cell of their lower ends, so that neither a hot value of `by` nor a lack of one puts all
+    in one task. From one cell to the next go how far its ranges reach and where its last merged range begins."""
     keys = list(by)
-    order = W.partitionBy(*keys).orderBy("min", "max")
-    marked = ranges.withColumn("_new", (F.col("min") > F.max("max").over(order.rowsBetween(W.unboundedPreceding, -1))).cast("int"))
-    grouped = marked.withColumn("_island", F.sum(F.coalesce("_new", F.lit(0))).over(order.rowsBetween(W.unboundedPreceding, 0)))
-    return grouped.groupBy(*keys, "_island").agg(F.min("min").alias("min"), F.max("max").alias("max")).drop("_island")
+    kind = dict(ranges.dtypes)["min"]
+    low = number(F.col("min"), kind)
+    cells = Cells.of(ranges.select(low.alias("v")), ranges.count(), per_cell)
+    dealt = cells.put(ranges.select(*keys, "min", "max"), low, "_cell")
+    order = W.partitionBy(*keys, "_cell").orderBy("min", "max")
+    earlier = W.partitionBy(*(keys or [F.lit(0)])).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)  # a row for each cell
+
+    def carried(df: DataFrame, value: Column, name: str) -> DataFrame:
+        """`df` with the greatest `value` of the earlier cells."""
+        ends = df.groupBy(*keys, "_cell").agg(F.max(value).alias("_end")).withColumn(name, F.max("_end").over(earlier))
+        ends = ends.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_cell").alias("_at"), name)
+        match = F.col("_cell") == F.col("_at")
+        for k in keys:
+            match = match & F.col(k).eqNullSafe(F.col(f"_{k}"))
+        return df.join(ends, match).drop("_at", *[f"_{k}" for k in keys])
+
+    marked = carried(dealt, F.col("max"), "_reach")
+    reach = F.greatest(F.max("max").over(order.rowsBetween(W.unboundedPreceding, -1)), "_reach")
+    marked = marked.withColumn("_start", F.when(reach.isNull() | (F.col("min") > reach), F.col("min"))).drop("_reach")
+    marked = carried(marked, F.col("_start"), "_before")
+    start = F.coalesce(F.max("_start").over(order.rowsBetween(W.unboundedPreceding, 0)), "_before")
+    return marked.withColumn("_island", start).groupBy(*keys, "_island").agg(F.min("min").alias("min"), F.max("max").alias("max")).drop("_island")
 
 
 def overlay(base: DataFrame, removed: DataFrame | None = None, puts: DataFrame | None = None, adjusts: DataFrame | None = None, ranges: KeyRanges | None = None, by: str = "key", value: str = "value") -> DataFrame:
@@ -136,33 +187,66 @@ def fold_counters(adjusts: DataFrame, by: str = "key") -> DataFrame:
     return adjusts.groupBy(by).agg(F.sum("delta").cast("long").alias("value"))
 
 
+def within_ranges(points: DataFrame, ranges: DataFrame, per_cell: int = 64, fan: int = 16) -> DataFrame:
+    """The rows of `points` (key, ...) with the rows of `ranges` (min, max, ...) that hold their key: min <= key < max. The
+    other columns must have different names. Keys are numbers, dates, times or binary.
+
+    Keys are cut into cells of about `per_cell` points, however they lie, and, level by level, into cells `fan` times as
+    wide. A range goes to the cells that it touches on the first level where those are few; a point goes to one cell of each
+    level. So a range meets the points near it only, whether it is short or long, and however many points there are."""
+    kind = dict(points.dtypes)["key"]
+    n = points.count()
+    cells = Cells.of(points.select(number(F.col("key"), kind).alias("v")), n, per_cell)
+    levels = [1]
+    while levels[-1] * fan < 2 * max(1, len(cells.outer) + 1) * 2048 and cells.inner is not None:
+        levels.append(levels[-1] * fan)
+    r = cells.put(ranges.where("min < max"), number(F.col("min"), kind), "_low")
+    r = cells.put(r, number(F.col("max"), kind), "_high")
+    span = F.col("_high") - F.col("_low")
+    level = sum((span > w * fan).cast("int") for w in levels[:-1]) if len(levels) > 1 else F.lit(0)
+    r = r.withColumn("_level", level)
+    width = F.element_at(F.array(*[F.lit(w) for w in levels]), F.col("_level") + 1)
+    r = r.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_low") / width), F.floor(F.col("_high") / width))))
+    p = cells.put(points, number(F.col("key"), kind), "_at").withColumn("_level", F.explode(F.array(*[F.lit(i) for i in range(len(levels))])))
+    p = p.withColumn("_cell", F.floor(F.col("_at") / width))
+    hit = r.join(p, ["_level", "_cell"]).where((F.col("key") >= F.col("min")) & (F.col("key") < F.col("max")))
+    return hit.drop("_level", "_cell", "_low", "_high", "_at")
+
+
 def conflicts(reads: DataFrame, writes: DataFrame, per_cell: int = 64, fan: int = 16) -> DataFrame:
     """(tx, min, max, kind, key) where a transaction's read of a range [min, max) meets another's write: reads (tx, min,
-    max), writes (tx, kind: put, remove or adjust, key), keys whole numbers.
-
-    Keys are cut into cells of about `per_cell` writes, and, level by level, into cells `fan` times as wide. A read goes
-    to the cells that it touches on the first level where those are few; a write goes to one cell of each level. So a
-    read meets the writes near its range only, whether it is short or long, and however many writes there are."""
-    n, low, high = writes.agg(F.count("key"), F.min("key"), F.max("key")).first()
-    longest = reads.agg(F.max(F.col("max") - F.col("min"))).first()[0]
-    if not n or longest is None:
-        return reads.limit(0).select("tx", "min", "max", F.lit("").alias("kind"), F.lit(0).cast("long").alias("key"))
-    widths = [max(1, (high - low + 1) * per_cell // n)]
-    while widths[-1] * fan < min(longest, high - low + 1):
-        widths.append(widths[-1] * fan)
-    width = lambda level: F.element_at(F.array(*[F.lit(w) for w in widths]), level + 1)
-    cell = lambda key, level: F.floor((key - low) / width(level))  # noqa: E731  never falls as keys rise, which suffices
-    r = reads.withColumns({"_low": F.greatest("min", F.lit(low)), "_high": F.least("max", F.lit(high + 1))}).where("_low < _high")
-    length = F.col("_high") - F.col("_low")
-    level = F.lit(0)
-    for w in widths[:-1]:
-        level = level + (length > w * fan).cast("int")
-    r = r.withColumn("_level", level)
-    r = r.select("tx", "min", "max", "_level", F.explode(F.sequence(cell(F.col("_low"), F.col("_level")), cell(F.col("_high") - 1, F.col("_level")))).alias("_cell"))
-    w = writes.select(F.col("tx").alias("_by"), "kind", "key", F.explode(F.array(*[F.lit(i) for i in range(len(widths))])).alias("_level"))
-    w = w.withColumn("_cell", cell(F.col("key"), F.col("_level")))
-    hit = r.join(w, ["_level", "_cell"]).where((F.col("tx") != F.col("_by")) & (F.col("key") >= F.col("min")) & (F.col("key") < F.col("max")))
-    return hit.select("tx", "min", "max", "kind", "key").distinct()
+    max), writes (tx, kind: put, remove or adjust, key). See within_ranges. Writes of one key and kind are one row before
+    they meet reads, with the least and the greatest transaction, so that a hot key costs no more than another."""
+    keys = writes.groupBy("kind", "key").agg(F.min("tx").alias("_first"), F.max("tx").alias("_last"))
+    hit = within_ranges(keys, reads, per_cell, fan)
+    return hit.where((F.col("tx") != F.col("_first")) | (F.col("tx") != F.col("_last"))).select("tx", "min", "max", "kind", "key").distinct()
+
+
+def range_conflicts(reads: DataFrame, removes: DataFrame, per_cell: int = 64, fan: int = 16) -> DataFrame:
+    """(tx, min, max, from, to) where a transaction's read of a range [min, max) meets another's removal of a range: removes
+    (tx, from, to); from and to say what both have in common. Two ranges meet where one holds the other's lower end."""
+    ends = removes.where(F.col("from") < F.col("to")).groupBy("from", "to").agg(F.min("tx").alias("_first"), F.max("tx").alias("_last"))
+    begins = within_ranges(ends.withColumn("key", F.col("from")), reads, per_cell, fan)
+    inside = within_ranges(reads.where("min < max").withColumn("key", F.col("min")).withColumnsRenamed({"min": "_min", "max": "_max"}), ends.withColumnsRenamed({"from": "min", "to": "max"}), per_cell, fan)
+    inside = inside.withColumnsRenamed({"min": "from", "max": "to"}).withColumnsRenamed({"_min": "min", "_max": "max"}).where(F.col("from") < F.col("min"))
+    names = ["tx", "min", "max", "from", "to", "_first", "_last"]
+    both = begins.select(*names).unionByName(inside.select(*names)).where((F.col("tx") != F.col("_first")) | (F.col("tx") != F.col("_last")))
+    return both.select("tx", "min", "max", F.greatest("min", "from").alias("from"), F.least("max", "to").alias("to")).distinct()
+
+
+class Tracked:
+    """A store that is read through, and remembers the ranges of keys that were read: for whole-number or binary keys."""
+
+    def __init__(self, kv: DataFrame, by: str = "key"):
+        self.kv, self.by, self.reads = kv, by, KeyRanges()
+
+    def get(self, key: Any) -> DataFrame:
+        self.reads = self.reads.union(KeyRanges([KeyRange(key, key + (b"\x00" if isinstance(key, bytes) else 1))]))
+        return get(self.kv, key, self.by)
+
+    def scan(self, ranges: KeyRange, reverse: bool = False) -> DataFrame:
+        self.reads = self.reads.union(KeyRanges([ranges]))
+        return scan(self.kv, ranges, reverse, self.by)
 
 
 def watched(changes: DataFrame, watches: DataFrame, by: str = "key") -> DataFrame:
@@ -170,6 +254,11 @@ def watched(changes: DataFrame, watches: DataFrame, by: str = "key") -> DataFram
     return watches.join(changes.select(by).distinct(), by, "left_semi")
 
 
+def watched_ranges(changes: DataFrame, watches: DataFrame) -> DataFrame:
+    """(watch, key) for watches (watch, min, max) of ranges of keys and the changed keys (key) in them."""
+    return within_ranges(changes.select("key").distinct(), watches.select("watch", "min", "max")).select("watch", "key").distinct()
+
+
 def union_of_stores(first: DataFrame, second: DataFrame, by: str = "key") -> DataFrame:
     """The entries of the first store, and those of the second whose keys it lacks: a fallback store merged."""
     return first.unionByName(second.join(first.select(by), by, "left_anti"))

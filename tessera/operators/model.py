@@ -9,9 +9,11 @@ from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.bounds import OPEN, Bounds, Values
+
 #: What becomes of a reference when the object that it refers to is deleted.
 DELETE_ACTIONS = ("IGNORE", "EXCEPTION", "NULLIFY", "REMOVE", "DELETE")
 KINDS = ("simple", "ref", "enum", "counter", "set", "list", "map")
@@ -37,6 +39,7 @@ class Field:
     cascades: frozenset[str] = frozenset()
     inverse_cascades: frozenset[str] = frozenset()
     names: tuple[str, ...] = ()
+    allow_deleted: bool = False
 
     def __post_init__(self) -> None:
         if self.kind not in KINDS:
@@ -92,6 +95,28 @@ class ObjType:
         return any(f.name == name for f in self.fields)
 
 
+def _said(x: Any) -> Any:
+    """A value, or a matcher of values, as JSON can hold it."""
+    if isinstance(x, Values):
+        return {"nulls": x.nulls, "non_nulls": x.non_nulls, "literals": list(x.literals), "ranges": [_said(r) for r in x.ranges]}
+    if isinstance(x, Bounds):
+        ends = {k: v for k, v in (("lower", x.lower), ("upper", x.upper)) if v is not OPEN}
+        return ends | {"lower_in": x.lower_in, "upper_in": x.upper_in}
+    return x
+
+
+def _meant(x: Any) -> Any:
+    if isinstance(x, dict):
+        return Values(x["nulls"], x["non_nulls"], tuple(x["literals"]), tuple(Bounds(**r) for r in x["ranges"]))
+    return x
+
+
+def object_key(number: Column | int, id_: Column) -> Column:
+    """The binary key of an object: the number of its type in 2 bytes, and its id in 8, so that keys order by both."""
+    of = lambda c, n: F.lpad(F.hex(c if isinstance(c, Column) else F.lit(c)), n, "0")
+    return F.unhex(F.concat(of(number, 4), of(id_.cast("long"), 16)))
+
+
 class Model:
     """All types, with their interfaces."""
 
@@ -108,24 +133,59 @@ class Model:
         return found
 
     def schema_id(self) -> str:
-        """A hash of what the model says; equal models have equal ids."""
-        said = {t.name: {f.name: [f.kind, sorted(f.indexed), {k: sorted(v) for k, v in f.refs.items()}] for f in t.fields} | {f"({k})": list(v) for k, v in t.composites.items()} for t in self.types.values()}
-        return hashlib.sha256(json.dumps(said, sort_keys=True).encode()).hexdigest()[:32]
+        """A hash of all that the model says, but for the order of its types and fields; equal models have equal ids."""
+        said = json.loads(self.to_json())
+        for t in said:
+            t["fields"].sort(key=lambda f: f["name"])
+        return hashlib.sha256(json.dumps(sorted(said, key=lambda t: t["name"]), sort_keys=True).encode()).hexdigest()[:32]
 
     def to_json(self) -> str:
-        """The names, kinds, indexes and references of all types, and what else is stated of fields in plain values."""
-        plain = lambda f: {"name": f.name, "kind": f.kind, "column": f.column, "default": f.default, "indexed": sorted(f.indexed), "refs": {k: list(v) for k, v in f.refs.items()}, "unique": f.unique, "on_delete": f.on_delete, "forward_delete": f.forward_delete, "cascades": sorted(f.cascades), "inverse_cascades": sorted(f.inverse_cascades), "names": list(f.names)}
-        types = [{"name": t.name, "interfaces": list(t.interfaces), "fields": [plain(f) for f in t.fields], "composites": {k: list(v) for k, v in t.composites.items()}, "singleton": t.singleton, "version": t.version} for t in self.types.values()]
+        """All types, with all that is stated of them."""
+        plain = lambda f: {"name": f.name, "kind": f.kind, "column": f.column, "default": f.default, "indexed": sorted(f.indexed), "refs": {k: list(v) for k, v in f.refs.items()}, "unique": f.unique, "unique_excludes": _said(f.unique_excludes), "on_delete": f.on_delete, "forward_delete": f.forward_delete, "cascades": sorted(f.cascades), "inverse_cascades": sorted(f.inverse_cascades), "names": list(f.names), "allow_deleted": f.allow_deleted}
+        types = [{"name": t.name, "interfaces": list(t.interfaces), "fields": [plain(f) for f in t.fields], "composites": {k: list(v) for k, v in t.composites.items()}, "unique_composites": {k: [[_said(x) for x in row] for row in v] for k, v in t.unique_composites.items()}, "singleton": t.singleton, "version": t.version} for t in self.types.values()]
         return json.dumps(types, indent=1)
 
     @staticmethod
     def from_json(text: str) -> Model:
         made = []
         for t in json.loads(text):
-            fields = tuple(Field(**{**f, "indexed": frozenset(f["indexed"]), "refs": {k: tuple(v) for k, v in f["refs"].items()}, "cascades": frozenset(f["cascades"]), "inverse_cascades": frozenset(f["inverse_cascades"]), "names": tuple(f["names"])}) for f in t["fields"])
-            made.append(ObjType(t["name"], fields, tuple(t["interfaces"]), {k: tuple(v) for k, v in t["composites"].items()}, {}, t["singleton"], t["version"]))
+            fields = tuple(Field(**{**f, "indexed": frozenset(f["indexed"]), "refs": {k: tuple(v) for k, v in f["refs"].items()}, "unique_excludes": _meant(f["unique_excludes"]), "cascades": frozenset(f["cascades"]), "inverse_cascades": frozenset(f["inverse_cascades"]), "names": tuple(f["names"])}) for f in t["fields"])
+            composites = {k: tuple(v) for k, v in t["composites"].items()}
+            unique = {k: tuple(tuple(_meant(x) for x in row) for row in v) for k, v in t["unique_composites"].items()}
+            made.append(ObjType(t["name"], fields, tuple(t["interfaces"]), composites, unique, t["singleton"], t["version"]))
         return Model(made)
 
+    def problems(self) -> list[str]:
+        """What is wrong with the model as a whole, as lines: references to types that aren't there, fields named twice,
+        uniqueness of composite indexes that aren't there, and indexed fields of one name that types of one interface have
+        as different kinds."""
+        out, known = [], {*self.types, *(i for t in self.types.values() for i in t.interfaces), "object"}
+        kinds: dict[tuple[str, str], set[str]] = {}
+        for t in self.types.values():
+            names = [f.name for f in t.fields]
+            out += [f"{t.name}.{n} is there twice" for n in sorted({n for n in names if names.count(n) > 1})]
+            out += [f"{t.name}.{f.name} refers to {to}, which is no type" for f in t.fields for ts in f.refs.values() for to in ts if to not in known]
+            out += [f"{t.name} has no composite index {c}" for c in t.unique_composites if c not in t.composites]
+            for f in t.fields:
+                for i in (*t.interfaces, t.name) if f.indexed or f.refs else ():
+                    kinds.setdefault((i, f.name), set()).add(f.kind)
+        return out + [f"{i}.{f} has several kinds" for (i, f), k in sorted(kinds.items()) if len(k) > 1]
+
+    def storage_ids(self) -> dict[str, int]:
+        """A number from 1 for each type, indexed field (Type.field, or with its part) and composite index (Type.index)."""
+        names = []
+        for t in sorted(self.types):
+            names.append(t)
+            for f in self.types[t].fields:
+                names += [f"{t}.{f.name}" + (f".{part}" if part else "") for part in sorted({*f.indexed, *f.refs})]
+            names += [f"{t}.{c}" for c in sorted(self.types[t].composites)]
+        return {n: k for k, n in enumerate(names, 1)}
+
+    def key_ranges(self, name: str | None = None) -> list[tuple[bytes, bytes]]:
+        """The ranges [low, high) of the keys (see object_key) of all objects that are, or have, the type `name`."""
+        ids = self.storage_ids()
+        return sorted((ids[t].to_bytes(2, "big"), (ids[t] + 1).to_bytes(2, "big")) for t in self.subtypes(name))
+
     def differences(self, other: Model) -> list[str]:
         """What `other` has that differs, as lines."""
         out = []
@@ -211,6 +271,31 @@ class Snapshot:
         """The first object of a type."""
         return self.frames[name].orderBy("_id").limit(1)
 
+    def singleton_or_new(self, name: str, _id: Any = 1) -> Snapshot:
+        """With one object of a type put in, with its defaults, if there is none; see singleton."""
+        return self if not self.frames[name].isEmpty() else self.created(name, self.frames[name].sparkSession.createDataFrame([(_id,)], "_id long"))
+
+    def created(self, name: str, ids: DataFrame) -> Snapshot:
+        """With an object for each of the given _ids that has none, with the defaults of its fields: what creates objects
+        under ids of one's own, and those that were deleted again. Objects that are there stay as they are."""
+        old, kind = self.frames[name], self.model.types[name]
+        new = ids.select(F.col("_id").cast(old.schema["_id"].dataType).alias("_id")).distinct().join(old.select("_id"), "_id", "left_anti")
+        given = {f.col: F.lit(0 if f.kind == "counter" else f.default) for f in kind.fields}
+        empty = {"set": F.array(), "list": F.array(), "map": F.create_map()}
+        given |= {f.col: empty[f.kind] for f in kind.fields if f.kind in empty}
+        rows = new.select("_id", *[given.get(c.name, F.lit(None)).cast(c.dataType).alias(c.name) for c in old.schema if c.name != "_id"])
+        return self.replaced(**{name: old.unionByName(rows)})
+
+    def cleared(self) -> Snapshot:
+        """With the same types and no objects."""
+        return Snapshot(self.model, {t: f.limit(0) for t, f in self.frames.items()})
+
+    def by_key(self, name: str | None = None) -> DataFrame:
+        """(key, _type, _id) of all objects that are, or have, the type `name`; see object_key and Model.key_ranges."""
+        ids = self.model.storage_ids()
+        parts = [f.select(object_key(ids[t], F.col("_id")).alias("key"), F.lit(t).alias("_type"), F.col("_id").cast("long").alias("_id")) for t in self.model.subtypes(name) if (f := self.frames.get(t)) is not None]
+        return reduce(DataFrame.unionByName, parts)
+
     def by_version(self) -> DataFrame:
         """(_version, _type, objects): how many objects each schema version of each type has."""
         parts = [f.select(F.lit(t).alias("_type"), F.col("_version") if "_version" in f.columns else F.lit(self.model.types[t].version).alias("_version")) for t, f in self.frames.items()]

@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.functions.lineage import cut
 from tessera.functions.ordering import ascending, descending
+from tessera.functions.ranges import Cells, number
 from tessera.operators.bounds import Bounds
 
 
@@ -63,27 +65,40 @@ def sub_set(df: DataFrame, key: str, bounds: Bounds, descending_order: bool = Fa
     return found.orderBy(*(descending if descending_order else ascending)(key))
 
 
+def numbered(df: DataFrame, *order: Column, name: str = "place", partitions: int | None = None) -> DataFrame:
+    """The rows with their places, from 1, in an order; ties get any. Rows are dealt out in ranges of the order, whose counts
+    are the offsets, so that no task sees all."""
+    n = partitions or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keys = [f"_o{i}" for i in range(len(order))]
+    ranged = df.withColumns(dict(zip(keys, order, strict=True))).repartitionByRange(n, *[F.col(k).asc_nulls_last() for k in keys])
+    dealt = cut(ranged.withColumn("_part", F.spark_partition_id()))
+    counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each partition
+    offsets = counts.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_start"))
+    inside = F.row_number().over(W.partitionBy("_part").orderBy(*[F.col(k).asc_nulls_last() for k in keys]))
+    return dealt.withColumn("_inside", inside).join(F.broadcast(offsets), "_part").select(*df.columns, (F.col("_start") + F.col("_inside")).alias(name))
+
+
 def floors(left: DataFrame, right: DataFrame, on: str, by: Sequence[str] = (), *, carry: Sequence[str], inclusive: bool = True, cells: int | None = None, cell_rows: int = 200_000) -> DataFrame:
     """For each row of `left` the columns `carry` of the row of `right` with the greatest `on` at or below its own (below
-    it, if not inclusive), among those with equal `by`; null if there is none. `on` is a number, date or timestamp.
+    it, if not inclusive), among those with equal `by`; null if there is none. Of several rows with that `on`, the one whose
+    columns `carry` are the greatest. `on` is a number, date or timestamp.
 
-    The values of `on` are cut into cells of equal width, about `cell_rows` rows to a cell, and rows are dealt by `by` and cell, so that one value
-    of `by` with many rows, or none at all, doesn't end up in one task. What a row doesn't find in its cell is the last
-    row of the nearest earlier cell, of which there is one row for each value of `by` and cell.
+    The values of `on` are cut into cells of about `cell_rows` rows, wherever they lie, and rows are dealt by `by` and cell,
+    so that one value of `by` with many rows, or none at all, doesn't end up in one task. What a row doesn't find in its
+    cell is the last row of the nearest earlier cell, of which there is one row for each value of `by` and cell.
     """
-    number = lambda c: c.cast("double")
-    n, low, high = right.agg(F.count("*"), F.min(number(F.col(on))), F.max(number(F.col(on)))).first()
-    cells = cells or max(64, (n + left.count()) // cell_rows)
-    low, width = low or 0.0, max(((high or 0.0) - (low or 0.0)) / cells, 1e-9)
-    cell = F.least(F.greatest(F.floor((number(F.col(on)) - low) / width), F.lit(-1)), F.lit(cells)).cast("int")
-    packed = F.struct(*carry)
-    mine = left.withColumn("_row", F.struct(*left.columns)).select(*by, on, cell.alias("_cell"), F.lit(1 if inclusive else 0).alias("_side"), "_row", F.lit(None).cast(right.select(packed.alias("x")).schema["x"].dataType).alias("_found"))
-    theirs = right.where(F.col(on).isNotNull()).select(*by, on, cell.alias("_cell"), F.lit(0 if inclusive else 1).alias("_side"), F.lit(None).cast(mine.schema["_row"].dataType).alias("_row"), packed.alias("_found"))
-    order = W.partitionBy(*by, "_cell").orderBy(F.col(on), "_side").rowsBetween(W.unboundedPreceding, 0)
+    kind = dict(right.dtypes)[on]
+    values = right.select(number(F.col(on), kind).alias("v")).unionByName(left.select(number(F.col(on), kind).alias("v")))
+    rows = values.count()
+    dealt = Cells.of(values.where("v is not null"), rows, max(1, rows // cells) if cells else cell_rows)
+    packed, kept = F.struct(*carry), F.struct(*left.columns)
+    mine = dealt.put(left.withColumn("_row", kept), number(F.col(on), kind), "_cell").select(*by, on, "_cell", F.lit(1 if inclusive else 0).alias("_side"), "_row", F.lit(None).cast(right.select(packed.alias("x")).schema["x"].dataType).alias("_found"))
+    theirs = dealt.put(right.where(F.col(on).isNotNull()), number(F.col(on), kind), "_cell").select(*by, on, "_cell", F.lit(0 if inclusive else 1).alias("_side"), F.lit(None).cast(mine.schema["_row"].dataType).alias("_row"), packed.alias("_found"))
+    order = W.partitionBy(*by, "_cell").orderBy(F.col(on), "_side", "_found").rowsBetween(W.unboundedPreceding, 0)
     near = mine.unionByName(theirs).withColumn("_found", F.last("_found", ignorenulls=True).over(order)).where(F.col("_row").isNotNull())
-    ends = theirs.groupBy(*by, "_cell").agg(F.max_by("_found", on).alias("_end"))
+    ends = theirs.groupBy(*by, "_cell").agg(F.max(F.struct(on, "_found")).alias("_end")).withColumn("_end", F.col("_end._found"))
     asked = near.where(F.col("_found").isNull() & F.col(on).isNotNull()).select(*by, "_cell").distinct().withColumn("_end", F.lit(None).cast(theirs.schema["_found"].dataType)).withColumn("_asked", F.lit(True))
-    earlier = (W.partitionBy(*by) if by else W.partitionBy(F.lit(0))).orderBy("_cell", F.desc("_asked")).rowsBetween(W.unboundedPreceding, -1)
+    earlier = (W.partitionBy(*by) if by else W.partitionBy(F.lit(0))).orderBy("_cell", F.desc("_asked")).rowsBetween(W.unboundedPreceding, -1)  # a row for each cell
     carried = asked.unionByName(ends.withColumn("_asked", F.lit(False))).withColumn("_earlier", F.last("_end", ignorenulls=True).over(earlier))
     carried = carried.where("_asked").select(*[F.col(b).alias(f"_{b}") for b in by], F.col("_cell").alias("_at"), "_earlier")
     match = F.col("_cell").eqNullSafe(F.col("_at"))

@@ -100,8 +100,39 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def follow(snapshot: Snapshot, path: Path, start: DataFrame) -> DataFrame:
-    """(_type, _id) of what the path leads to from the objects `start` (_type, _id), or _id if they have one type."""
+def saved(model: Model, start: str, text: str):
+    """The path as a query: a function of a snapshot and of objects, of the type `start`, that gives what it leads to."""
+    path = parse(model, start, text)
+    return lambda snapshot, objects: follow(snapshot, path, objects)
+
+
+def follow_pairs(snapshot: Snapshot, path: Path, start: DataFrame) -> DataFrame:
+    """(_start, _type, _id): what the path leads to from each of the objects `start` (_id), which have one type; each pair once."""
+    if len(path.starts) != 1:
+        raise ValueError("pairs are of paths from one type")
+    now = start.select(F.col("_id").alias("_start"), F.lit(path.starts[0]).alias("_type"), "_id").distinct()
+    for s in path.steps:
+        parts = []
+        for t in s.holders:
+            f, frame = snapshot.model.types[t].field(s.field), snapshot.of(t)
+            targets = _targets(snapshot.model, f, s.part)
+            held = frame.select(F.col("_id").alias("_held"), _values(f, s.part).alias("_ref")).where("_ref is not null")
+            if s.forward:
+                found = now.where(F.col("_type") == t).join(held, F.col("_id") == F.col("_held")).select("_start", F.col("_ref").alias("_id"))
+                for to in s.types:
+                    if to in targets:
+                        own = found if len(s.types) == 1 else found.join(snapshot.of(to).select("_id"), "_id", "left_semi")
+                        parts.append(own.select("_start", F.lit(to).alias("_type"), "_id"))
+            else:
+                here = now.where(F.col("_type").isin(*targets)).select("_start", F.col("_id").alias("_to"))
+                parts.append(held.join(here, F.col("_ref") == F.col("_to")).select("_start", F.lit(t).alias("_type"), F.col("_held").alias("_id")))
+        now = _union(parts).distinct()
+    return now
+
+
+def follow(snapshot: Snapshot, path: Path, start: DataFrame, strict: bool = False) -> DataFrame:
+    """(_type, _id) of what the path leads to from the objects `start` (_type, _id), or _id if they have one type. strict: a step
+    along a reference from an object that isn't there ends the query, in place of leading nowhere."""
     if "_type" not in start.columns:
         if len(path.starts) != 1:
             raise ValueError("objects of several types need the column _type")
@@ -115,6 +146,10 @@ def follow(snapshot: Snapshot, path: Path, start: DataFrame) -> DataFrame:
             f, frame = snapshot.model.types[t].field(s.field), snapshot.of(t)
             if s.forward:
                 here = now.where(F.col("_type") == t).select("_id")
+                if strict:
+                    there = here.join(frame.select("_id", F.lit(True).alias("_there")), "_id", "left")
+                    gone = F.raise_error(F.concat(F.lit(f"{t} is deleted: "), F.col("_id").cast("string"))).cast("boolean")
+                    here = there.where(F.coalesce("_there", gone)).select("_id")
                 found = frame.join(here, "_id", "left_semi").select(_values(f, s.part).alias("_id")).where("_id is not null")
                 for to in s.types:
                     if to in _targets(snapshot.model, f, s.part):

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from functools import reduce
+from typing import Any
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tessera.functions.ordering import ascending
 
@@ -18,6 +20,16 @@ def _same(frames: tuple[DataFrame, ...]) -> list[str]:
     return frames[0].columns
 
 
+def empty(like: DataFrame) -> DataFrame:
+    """The set of no rows, with the columns of another."""
+    return like.limit(0)
+
+
+def singleton(like: DataFrame, *values: Any) -> DataFrame:
+    """The set of one row, with the columns of another."""
+    return like.sparkSession.createDataFrame([values], like.schema)
+
+
 def union(*sets: DataFrame) -> DataFrame:
     _same(sets)
     return reduce(DataFrame.union, sets).distinct()
@@ -35,8 +47,6 @@ def difference(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """What only one of the two has, by one count of both sides rather than a union less an intersection."""
-    from pyspark.sql import functions as F
-
     names = _same((a, b))
     both = a.distinct().withColumn("_side", F.lit(1)).union(b.distinct().withColumn("_side", F.lit(2)))
     return both.groupBy(*names).agg(F.sum("_side").alias("_side")).where("_side < 3").select(*names)

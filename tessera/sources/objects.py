@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Iterator, Mapping
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +41,34 @@ def load(spark: SparkSession, model: Model, path: str, schemas: Mapping[str, Str
     return Snapshot(model, frames)
 
 
+def save_elements(snapshot: Snapshot, path: str) -> None:
+    """Writes all objects as XML of one form, whatever their types: an element for each object, with its type and id, that holds
+    an element for each simple field that isn't null, with its name. Collections are left out; see save()."""
+    parts = []
+    for t, frame in snapshot.frames.items():
+        fields = [f for f in snapshot.model.types[t].fields if f.kind not in ("set", "list", "map")]
+        said = F.array(*[F.struct(F.lit(f.name).alias("_name"), F.col(f.col).cast("string").alias("_VALUE")) for f in fields]) if fields else F.array().cast("array<struct<_name:string,_VALUE:string>>")
+        parts.append(frame.select(F.lit(t).alias("_type"), F.col("_id").cast("string").alias("_id"), F.filter(said, lambda x: x["_VALUE"].isNotNull()).alias("field")))
+    reduce(DataFrame.unionByName, parts).write.format("xml").option("rowTag", "object").option("rootTag", "objects").mode("overwrite").save(path)
+
+
+def load_elements(spark: SparkSession, model: Model, path: str, schemas: Mapping[str, StructType]) -> Snapshot:
+    """Reads what save_elements() wrote, with the stated columns of each type."""
+    raw = spark.read.format("xml").option("rowTag", "object").schema("_type string, _id string, field array<struct<_name:string,_VALUE:string>>").load(path)
+    said = raw.select("_type", "_id", F.map_from_entries(F.coalesce("field", F.array().cast("array<struct<_name:string,_VALUE:string>>"))).alias("said"))
+    frames = {}
+    for t, schema in schemas.items():
+        names = {f.col: f.name for f in model.types[t].fields}
+        frames[t] = said.where(F.col("_type") == t).select(*[(F.col("_id") if c.name == "_id" else F.col("said")[names[c.name]]).cast(c.dataType).alias(c.name) for c in schema])
+    return Snapshot(model, frames)
+
+
+def export_plain(df: DataFrame) -> Iterator[dict[str, Any]]:
+    """Objects as plain Python values, one partition at a time on the driver: collections as lists and dicts."""
+    for row in df.toLocalIterator():
+        yield row.asDict(recursive=True)
+
+
 def assign_ids(rows: DataFrame, label: str, existing: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows with an _id for each distinct value of the column `label`, made from its hash, so that a rerun makes the same
     ones; and the map (label, _id). It is an error if two labels get one id, or if an id exists."""
@@ -67,5 +96,6 @@ def jdbc(spark: SparkSession, url: str, table: str, key: str, low: int, high: in
 
 
 def dump(df: DataFrame, elements: int = 20) -> DataFrame:
-    """The same rows with arrays cut to their first elements, for people to read."""
-    return df.select(*[F.slice(c, 1, elements).alias(c) if t.startswith("array") else F.col(c) for c, t in df.dtypes])
+    """The same rows with arrays and maps cut to their first elements, for people to read."""
+    first = lambda c: F.map_from_entries(F.slice(F.map_entries(c), 1, elements)).alias(c)
+    return df.select(*[F.slice(c, 1, elements).alias(c) if t.startswith("array") else first(c) if t.startswith("map") else F.col(c) for c, t in df.dtypes])

@@ -8,6 +8,7 @@ import os
 import duckdb
 import pytest
 
+from tessera.plans import further  # noqa: F401  adds to the queries
 from tessera.plans.catalog import ORACLE_SQL, QUERIES
 
 FOLDER = os.environ.get("TESSERA_TABLES", "/root/testdata/sf0.001")
