@@ -61,7 +61,8 @@ def _whole(text: str | None) -> int | None:
 
 
 def archives_of(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES, level: str = "DEFAULT_COMPRESSION", *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
-    """Writes pages as legacy ARC archives, the even ones in version 1 of the format, the odd ones in version 2."""
+    """Writes pages as legacy ARC archives, the even ones in version 1 of the format, the odd ones in version 2. Each archive
+    is a partition of its own. Pages are dealt to archives by their place as well, so that pages that repeat spread."""
     base = pick(pages, page_id=id_col, url=url_col, html=html_col)
     html = F.coalesce("html", F.lit(""))
     total = base.agg(F.coalesce(F.sum(F.octet_length(html)), F.lit(0))).first()[0]
@@ -72,11 +73,11 @@ def archives_of(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES,
     url = F.regexp_replace(F.coalesce("url", F.lit("about:blank")), r"[\x00-\x20\x7f]", "%20")
     first = F.concat_ws(" ", url, F.lit("0.0.0.0 20240101000000 text/html"))
     line = F.when(F.col("file") % 2 == 0, first).otherwise(F.concat_ws(" ", first, F.lit("200"), F.sha1(html), F.lit("- 0"), name))
-    records = base.withColumn("file", F.pmod(F.xxhash64("page_id", "url"), F.lit(n)).cast("int")).select("file", F.lit(1).alias("order"), F.concat(line, F.lit(" "), F.octet_length(content).cast("string"), F.lit("\n"), content).alias("value"))
+    records = base.withColumn("file", F.pmod(F.xxhash64("page_id", "url", F.monotonically_increasing_id()), F.lit(n)).cast("int")).select("file", F.lit(1).alias("order"), F.concat(line, F.lit(" "), F.octet_length(content).cast("string"), F.lit("\n"), content).alias("value"))
     body = F.when(F.col("file") % 2 == 0, f"1 0 tessera\n{ARC_FIELDS[1]}\n").otherwise(f"2 0 tessera\n{ARC_FIELDS[2]}\n")
     line = F.when(F.col("file") % 2 == 0, F.concat(F.lit("filedesc://"), name, F.lit(" 0.0.0.0 20240101000000 text/plain"))).otherwise(F.concat(F.lit("filedesc://"), name, F.lit(" 0.0.0.0 20240101000000 text/plain 200 - - 0 "), name))
     tops = pages.sparkSession.range(n).select(F.col("id").cast("int").alias("file"), F.lit(0).alias("order")).select("file", "order", F.concat(line, F.lit(" "), F.octet_length(body).cast("string"), F.lit("\n"), body).alias("value"))
-    records.union(tops).repartition(n, "file").sortWithinPartitions("file", "order").select("value").write.option("lineSep", "\n").option("compression", "gzip").option("zlib.compress.level", level).text(path)
+    records.union(tops).repartitionById(n, F.col("file")).sortWithinPartitions("order").select("value").write.option("lineSep", "\n").option("compression", "gzip").option("zlib.compress.level", level).text(path)
 
 
 def arc_records(content: bytes, name: str, payloads: bool = True) -> Iterator[dict]:
@@ -141,14 +142,15 @@ def convert_arc(spark: SparkSession, arc_path: str, warc_path: str) -> None:
     A filedesc record becomes a warcinfo record, an HTTP record a response, any other a resource. Identifiers are
     UUIDs made from the URL, the date, the page's id and the payload's digest, so a rerun makes the same ones.
     Of responses with equal payloads of at least LEAST_BYTES bytes, that with the smallest page id stays a response, and
-    the others become revisits of it that hold only the HTTP head. A missing page id counts as the largest; records
-    that repeat in full stay responses. Groups of equal payloads are found by digest, on rows without payloads.
+    the others become revisits of it that hold only the HTTP head. A missing page id counts as the largest. Records that
+    share the smallest id all stay responses, whatever their URLs; revisits refer to the one whose identifier comes first.
+    Groups of equal payloads are found by digest, on rows without payloads.
     """
     heads = read_arc(spark, arc_path, payloads=False).where("kind = 'response'").where(F.col("payload_bytes") >= LEAST_BYTES)
     first = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "record_id", "url", "date")).alias("first")
     groups = written(heads.groupBy("payload_digest").agg(first, F.count("*").alias("n")).where("n > 1").select("payload_digest", "first"), "warc-groups")
     r = read_arc(spark, arc_path).join(groups, "payload_digest", "left")
-    revisit = F.coalesce((F.col("kind") == "response") & (F.col("payload_bytes") >= LEAST_BYTES) & (F.col("record_id") != F.col("first.record_id")), F.lit(False))
+    revisit = F.coalesce((F.col("kind") == "response") & (F.col("payload_bytes") >= LEAST_BYTES) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id")), F.lit(False))
     text = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     block: Column = F.when(revisit, F.col("head")).otherwise(F.concat("head", "payload"))
     lines = F.concat(
@@ -195,7 +197,7 @@ def warc_records(content: bytes, name: str, payloads: bool = True) -> Iterator[d
         http, told = _headers(head[:-4]), h.get("warc-payload-digest", "").removeprefix("sha256:")
         row = {"record_type": h.get("warc-type"), "page_id": _whole(http.get("x-page-id")), "url": h.get("warc-target-uri"), "date": h.get("warc-date"), "record_id": h.get("warc-record-id", "").strip("<>")}
         if row["record_type"] == "revisit":
-            row |= {"refers_to_id": h.get("warc-refers-to", "").strip("<>"), "refers_to": _whole(h.get("x-refers-to-page-id")), "payload_bytes": _whole(http.get("content-length")), "payload_digest": told, "intact": True}
+            row |= {"refers_to_id": h.get("warc-refers-to", "").strip("<>"), "refers_to": _whole(h.get("x-refers-to-page-id")), "payload_bytes": _whole(http.get("content-length")), "payload_digest": told}
         else:
             digest = hashlib.sha256(payload).hexdigest()
             row |= {"payload": payload if payloads else None, "payload_bytes": len(payload), "payload_digest": digest, "intact": digest == told}
@@ -204,7 +206,18 @@ def warc_records(content: bytes, name: str, payloads: bool = True) -> Iterator[d
 
 
 def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """The records of all WARC archives in a folder. intact: the payload has the digest that its record states."""
+    """The records of all WARC archives in a folder. intact: the payload has the digest that its record states; of a
+    revisit, the response that it refers to is there, is intact and has that digest."""
+    found = _parsed(spark, path, payloads)
+    there = _parsed(spark, path, False).where("record_type = 'response' AND intact").select(F.col("record_id").alias("refers_to_id"), F.col("payload_digest").alias("_digest"))
+    asked = _parsed(spark, path, False).where("record_type = 'revisit'").select("refers_to_id", "payload_digest").distinct()
+    good = asked.join(there.distinct(), "refers_to_id").where(F.col("payload_digest") == F.col("_digest")).select(F.col("refers_to_id").alias("_id"), F.col("payload_digest").alias("_of"))
+    both = found.join(good, (F.col("refers_to_id") == F.col("_id")) & (F.col("payload_digest") == F.col("_of")), "left")
+    return both.withColumn("intact", F.coalesce("intact", F.col("_id").isNotNull())).drop("_id", "_of")
+
+
+def _parsed(spark: SparkSession, path: str, payloads: bool) -> DataFrame:
+    """The records as each says of itself; a revisit leaves `intact` open."""
     schema = _arrow(WARC_SCHEMA)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -63,3 +63,37 @@ def test_archives_are_warc_files(spark, tmp_path):
     raw = b"".join(gzip.decompress(p.read_bytes()) for p in sorted((tmp_path / "warc").glob("part-*.gz")))
     assert raw.startswith(b"WARC/1.1\r\n") and raw.endswith(b"\r\n\r\n") and b"WARC-Type: warcinfo" in raw
     assert read_warc(spark, f"file://{tmp_path}/warc").count() == 2
+
+
+def test_pages_that_share_the_smallest_id_all_stay_responses(spark):
+    body = "w" * 300
+    got = run(spark, [(1, "http://a/", body), (1, "http://b/", body), (2, "http://c/", body), (None, "http://d/", body)])
+    kinds = sorted((str(r["page_id"]), r["record_type"], str(r["refers_to"])) for r in got)
+    assert kinds == [("1", "response", "None"), ("1", "response", "None"), ("2", "revisit", "1"), ("None", "revisit", "1")] and all(r["intact"] for r in got)
+
+
+def test_a_revisit_of_something_else_is_not_intact(spark, tmp_path):
+    import gzip
+
+    from tessera.llm.warc import archives_of, convert_arc
+
+    df = spark.createDataFrame([(1, "http://a/", "x" * 200), (2, "http://b/", "x" * 200)], "page_id long, url string, html string")
+    archives_of(df, f"file://{tmp_path}/arc")
+    convert_arc(spark, f"file://{tmp_path}/arc", f"file://{tmp_path}/warc")
+    raw = b"".join(gzip.decompress(p.read_bytes()) for p in sorted((tmp_path / "warc").glob("part-*.gz")))
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / "a.warc.gz").write_bytes(gzip.compress(raw.replace(b"x" * 200, b"y" * 200)))
+    got = {r["record_type"]: r["intact"] for r in read_warc(spark, f"file://{tmp_path}/other").collect()}
+    assert got == {"warcinfo": True, "response": False, "revisit": False}
+
+
+def test_each_archive_is_a_file(spark, tmp_path):
+    from tessera.llm.warc import archives_of
+
+    df = spark.createDataFrame([(i % 3, "http://a/", "z" * 1000) for i in range(400)], "page_id long, url string, html string")
+    archives_of(df, f"file://{tmp_path}/arc", 40_000)
+    files = sorted((tmp_path / "arc").glob("part-*.gz"))
+    import gzip
+
+    tops = [gzip.decompress(f.read_bytes()).count(b"filedesc://") for f in files]
+    assert tops == [1] * 11
