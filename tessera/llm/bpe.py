@@ -9,12 +9,14 @@ the order of the merges:
 * each state with an arc to a that is still there gets an arc to c.
 
 A sequence of tokens is an encoding if and only if the automaton has its arcs, and each text has exactly one. With tens
-of thousands of merges the arcs are too many to store, so each state stores what its gadget was, and whether an arc is
-there follows, when it is first asked for, from one older arc, down to bytes.
-
-Words are read byte by byte through a deterministic table over the labels of the arcs, whose transitions are entered as
-words first need them. Each place in a word has exactly one state, that of the last token up to it, so the ids are found by
-going back from the end.
+of thousands of merges the arcs are too many to list, billions, so they are held as gadgets: whether an arc is there follows
+from one older arc, down to bytes, in as many steps as its tokens have merges.
+
+All of this is compiled into tables before the first text: the gadget of each state (when it was made, and of which two),
+the merges by pair, and the labels of the arcs as a deterministic automaton over bytes (Aho and Corasick), with the
+transitions from each node, the node to go on from where there is none, and the tokens that can end at a node, the longest
+first. Their size depends on the vocabulary only. Words are read byte by byte through them. Each place in a word has
+exactly one state, that of the last token up to it, so the ids are found by going back from the end.
 """
 
 from __future__ import annotations
@@ -32,8 +34,8 @@ from tessera.llm.common import map_texts
 #: Up to this character all versions of Unicode agree on what letters, numbers and spaces are. Texts with others are split
 #: by the library.
 AGREED = 0x557
-#: Words whose ids a worker keeps, twice over; arcs and transitions together that it keeps before it starts anew.
-KEPT_WORDS, KEPT_STEPS = 200_000, 1_000_000
+#: Words whose ids a worker keeps, and arcs, each twice over.
+KEPT_WORDS, KEPT_STEPS = 60_000, 60_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -67,49 +69,70 @@ class Automaton:
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in spec["added_tokens"]):
             raise ValueError("added tokens that strip, match words or are normalized are not supported")
-        as_bytes = lambda t: bytes(byte[c] for c in t)
-        self.labels: dict[int, bytes] = {i: as_bytes(t) for t, i in model["vocab"].items()} | {i: t.encode() for t, i in self.added.items()}
-        self.digits = {i: str(i) for i in self.labels}
-        # the gadgets: when each state was made, and of which two; when each pair was merged
-        self.born: dict[int, int] = {i: 0 for t, i in model["vocab"].items() if len(t) == 1}
-        self.left: dict[int, int] = {}
-        self.right: dict[int, int] = {}
-        self.merged: dict[tuple[int, int], int] = {}
+        vocab, n = model["vocab"], max([*model["vocab"].values(), *self.added.values()]) + 1
+        self.labels: dict[int, bytes] = {i: bytes(byte[c] for c in t) for t, i in vocab.items()} | {i: t.encode() for t, i in self.added.items()}
+        self.digits = [str(i) for i in range(n)]
+        # the gadgets: when each state was made (-1: it is none), and of which two; when each pair was merged
+        self.born, self.left, self.right = [-1] * n, [-1] * n, [-1] * n
+        for t, i in vocab.items():
+            if len(t) == 1:
+                self.born[i] = 0
+        self.merged: dict[int, int] = {}
         for k, pair in enumerate(model["merges"], 1):
-            a, b = (model["vocab"][t] for t in (pair.split(" ") if isinstance(pair, str) else pair))
-            c = model["vocab"]["".join(pair.split(" ") if isinstance(pair, str) else pair)]
+            x, y = pair.split(" ") if isinstance(pair, str) else pair
+            a, b, c = vocab[x], vocab[y], vocab[x + y]
             live = self.arc(a, b, k - 1)  # else no text ever reaches this merge, and the gadget changes nothing
-            self.merged.setdefault((a, b), k)
-            if live and c not in self.born:
+            self.merged.setdefault(a << 32 | b, k)
+            if live and self.born[c] < 0:
                 self.born[c], self.left[c], self.right[c] = k, a, b
         self.last = len(model["merges"])
-        # the labels of the arcs as a table: (node, byte) to node; node to token
-        self.steps: dict[int, int] = {}
-        self.ends: dict[int, int] = {}
-        nodes = 1
-        for i in self.born:
-            node = 0
-            for x in self.labels[i]:
-                if (key := node << 8 | x) not in self.steps:
-                    self.steps[key] = nodes
-                    nodes += 1
-                node = self.steps[key]
-            self.ends[node] = i
-        self.parent = {node: key for key, node in self.steps.items()}
-        self.sizes = {i: len(label) for i, label in self.labels.items()}
-        self._start()
+        self.sizes = [len(self.labels.get(i, b"")) for i in range(n)]
+        self._compile_labels([i for i in range(n) if self.born[i] >= 0])
+        self.arcs: dict[int, bool] = {}
+        self.older_arcs: dict[int, bool] = {}
         self.words: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
         self.split = splitter().findall
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self._library = None
 
+    def _compile_labels(self, states: list[int]) -> None:
+        """The tables of the automaton over bytes: steps ((node, byte) to node), beyond (the node of the longest proper
+        ending of a node's bytes that begins a label), and ends (the tokens that can end at a node, the longest first).
+        Nodes are numbered by length, so that each one's ending comes before it."""
+        self.steps: dict[int, int] = {}
+        self.beyond, self.ends = [0], [()]
+        level = {0: [(self.labels[i], i) for i in states]}  # the labels that go on from each node
+        depth = 0
+        while level:
+            deeper: dict[int, list[tuple[bytes, int]]] = {}
+            for node, labels in level.items():
+                for label, i in labels:
+                    key = node << 8 | label[depth]
+                    to = self.steps.get(key)
+                    if to is None:
+                        to = self.steps[key] = len(self.beyond)
+                        self.beyond.append(self.next(self.beyond[node], label[depth]) if node else 0)
+                        self.ends.append(self.ends[self.beyond[to]])
+                    if len(label) == depth + 1:
+                        self.ends[to] = (i, *self.ends[self.beyond[to]])
+                    else:
+                        deeper.setdefault(to, []).append((label, i))
+            level, depth = deeper, depth + 1
+
+    def next(self, node: int, byte: int) -> int:
+        """The transition from a node by a byte. Each byte is a token, so that the first node has one for all."""
+        while (to := self.steps.get(node << 8 | byte)) is None and node:
+            node = self.beyond[node]
+        return to
+
     def arc(self, a: int, b: int, k: int) -> bool:
         """Whether b may follow a after the first k gadgets. Both states must be there by then."""
+        born, merged = self.born, self.merged
         while True:
-            if self.merged.get((a, b), k + 1) <= k:
+            if merged.get(a << 32 | b, k + 1) <= k:
                 return False
-            x, y = self.born[a], self.born[b]
+            x, y = born[a], born[b]
             if x == 0 and y == 0:
                 return True
             if x > y:  # a took over the arcs of its right part
@@ -119,65 +142,36 @@ class Automaton:
             else:
                 a, b, k = self.right[a], self.left[b], x - 1
 
-    def _start(self) -> None:
-        """An empty transition table. A row is what the bytes read so far end with, the longest beginning of a label: its
-        transitions by byte, the tokens that can end there, and its node in the tree of labels."""
-        self.rows: dict[int, tuple] = {}
-        self.arcs: dict[int, dict[int, bool]] = {}
-        self.shorter: dict[int, int] = {0: 0}
-        self.kept = 0
-        self.first = self._row(0)
-
-    def _row(self, node: int) -> tuple:
-        row = self.rows.get(node)
-        if row is None:
-            tokens, at = [], node
-            while at:  # the longest first; with what is known of the arcs to a token, by state (-1: the start, to all)
-                if (t := self.ends.get(at)) is not None:
-                    tokens.append((t, self.sizes[t], self.arcs.setdefault(t, {-1: True})))
-                at = self._shorter(at)
-            row = self.rows[node] = ({}, tuple(tokens), node)
-        return row
-
-    def _step(self, row: tuple, byte: int) -> tuple:
-        """Enters a transition in the table."""
-        self.kept += 1
-        to = row[0][byte] = self._row(self._goto(row[2], byte))
-        return to
-
-    def _goto(self, node: int, byte: int) -> int:
-        while (to := self.steps.get(node << 8 | byte)) is None and node:
-            node = self._shorter(node)
-        return to or 0
-
-    def _shorter(self, node: int) -> int:
-        """The node of the longest proper ending of a node's bytes that begins a label."""
-        to = self.shorter.get(node)
-        if to is None:
-            before, byte = self.parent[node] >> 8, self.parent[node] & 255
-            to = self.shorter[node] = self._goto(self._shorter(before), byte) if before else 0
-        return to
+    def _ask(self, key: int) -> bool:
+        """Whether an arc is there, kept with those asked for lately."""
+        if len(self.arcs) >= KEPT_STEPS:
+            self.older_arcs, self.arcs = self.arcs, {}
+        found = self.older_arcs.get(key)
+        found = self.arcs[key] = self.arc(key >> 32, key & 0xFFFFFFFF, self.last) if found is None else found
+        return found
 
     def encode_word(self, word: str) -> tuple[int, ...]:
         """Ids of a word: one transition for each byte, which gives the tokens that can end there; the one that may
         follow the state where it begins is the state at this place. Then back from the last state, token by token."""
-        if self.kept > KEPT_STEPS:
-            self._start()
         text = word.encode("utf-8", "surrogatepass")
-        states, row, place = [-1], self.first, 0
+        states, node, place = [-1], 0, 0
+        sizes, ends, steps, beyond, arcs = self.sizes, self.ends, self.steps, self.beyond, self.arcs
         for byte in text:
             place += 1
-            row = row[0].get(byte) or self._step(row, byte)
-            for token, length, arcs in row[1]:
-                before = states[place - length]
-                known = arcs.get(before)
+            while (to := steps.get(node << 8 | byte)) is None and node:
+                node = beyond[node]
+            node = to
+            for token in ends[node]:
+                before = states[place - sizes[token]]
+                if before < 0:
+                    break
+                known = arcs.get(key := before << 32 | token)
                 if known is None:
-                    known = arcs[before] = self.arc(before, token, self.last)
-                    self.kept += 1
+                    known, arcs = self._ask(key), self.arcs
                 if known:
                     break
             states.append(token)
-        ids, sizes = [], self.sizes
+        ids = []
         while place:
             token = states[place]
             ids.append(token)
