@@ -228,7 +228,8 @@ class Frames(Mapping):
 
 
 class Snapshot:
-    """Objects at one time: for each type a DataFrame with _id and its columns. Writes give a new snapshot."""
+    """Objects at one time: for each type a DataFrame with _id and its columns. Writes give a new snapshot. Ids are whole numbers
+    for cascades, deletion and keys; extents, indexes and paths take ids of any type."""
 
     def __init__(self, model: Model, frames: Mapping[str, DataFrame]):
         self.model, self.frames = model, frames if isinstance(frames, Frames) else Frames(frames)

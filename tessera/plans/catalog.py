@@ -652,10 +652,8 @@ def collection_ops(spark, d):
 
 @query("SELECT c_custkey AS id, CAST(row_number() OVER (ORDER BY substr(c_name, 10), c_custkey) AS INTEGER) AS place FROM customer")
 def strict_order_utf16(spark, d):
-    from pyspark.sql import Window as W
-
-    key = sort_key(F.substring("c_name", 10, 100), "utf16")
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.row_number().over(W.orderBy(key, "c_custkey")).alias("place"))
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.substring("c_name", 10, 100).alias("name"))
+    return navigate.numbered(c, sort_key(F.col("name"), "utf16"), F.col("id")).select("id", F.col("place").cast("int").alias("place"))
 
 
 @query("SELECT o_orderkey AS id, CASE WHEN try_cast(o_orderpriority[1:1] AS INTEGER) IS NULL THEN -1 ELSE try_cast(o_orderpriority[1:1] AS INTEGER) END AS priority FROM orders")

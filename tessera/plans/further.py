@@ -689,3 +689,9 @@ def stream_counters(spark, d):
 def stream_first_seen(spark, d):
     once = feed.first_seen(_arriving(spark, d), "event_id", "ts", "1 hour")
     return feed.to_table(once.select(F.col("event_id").alias("id"), F.col("event_type").alias("type")), shared_path(spark, "stream"))
+
+
+@query("WITH e AS (SELECT user_id AS \"user\", ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT \"user\", ts, sum(fresh) OVER (PARTITION BY \"user\" ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT \"user\", min(ts) AS start, count(*) AS n FROM s GROUP BY \"user\", k")
+def stream_sessions(spark, d):
+    w = feed.sessions(_arriving(spark, d).withColumnRenamed("user_id", "user"), "ts", "12 hours", "2 days", ["user"])
+    return feed.to_table(w.select("user", F.col("start").cast("timestamp_ntz").alias("start"), "n"), shared_path(spark, "stream"), whole=True)
