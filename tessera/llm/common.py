@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.functions.lineage import shared_path
+
 #: The characters that separate words, as a class for regular expressions.
 SPACE = r"\x20\x09-\x0D"
 #: A word.
@@ -43,29 +44,20 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return plain.select(*[plain[f"_c{names.index(old)}"].alias(new) for new, old in columns.items()])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in `spark.checkpoint.dir`, which the driver and all executors share; only where it is unset, as in
-    tests on one machine, a new temporary folder, which is then set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """`df` as a Parquet table in the shared folder: cuts the lineage, and survives the loss of executors."""
     spark = df.sparkSession
     path = shared_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for t in tables:
+        remove(t.sparkSession, t.written_to)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -82,6 +74,16 @@ _ARROW = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "ar
 _SPARK = {"array<span>": "array<struct<kind:string,start:int,`end`:int,value_start:int,novelty:double>>"}
 
 
+def give_back() -> None:
+    """Returns to the system what memory a task no longer needs: its worker waits for tasks of other stages, which share
+    the executor's memory with it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def map_texts(docs: DataFrame, id_col: str, text_col: str, columns: dict[str, str], start: Callable[[], Callable[[list[str | None]], list[list]]]) -> DataFrame:
     """doc_id, and `columns` (name to type) that a function makes of a batch of whole texts, a list for each. `start` makes
     that function, once in each task. Ids of any type pass through as they are, nulls among them."""
@@ -94,6 +96,8 @@ def map_texts(docs: DataFrame, id_col: str, text_col: str, columns: dict[str, st
             made = work(b.column(1).to_pylist())
             arrays = [b.column(0), *[pa.array(x, type=k) for x, (_, k) in zip(made, kinds, strict=True)]]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", *columns])
+        del work
+        give_back()
 
     key = base.schema["doc_id"].dataType.simpleString()
     return base.mapInArrow(run, ", ".join([f"doc_id {key}", *[f"{n} {_SPARK.get(k, k)}" for n, k in columns.items()]]))
@@ -123,5 +127,6 @@ def map_rows(docs: DataFrame, text_col: str, work: Callable[[pa.RecordBatch], pa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, at):
             yield work(b)
+        give_back()
 
     return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
