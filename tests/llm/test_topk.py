@@ -54,3 +54,26 @@ def test_pruned_search_finds_what_a_full_one_finds():
         s[q] = -np.inf
         best = np.lexsort((np.arange(2000), -s))[:5]
         assert list(ids) == list(best) and scores == [int(v) for v in s[best]]
+
+
+def test_huge_components_and_lengths_that_differ(spark):
+    rows = [(0, [1e30, 1.0]), (1, [1e30, -2.0, 4.0]), (50, [2.0]), (3, []), (4, [0.5, 0.25, 1.0, -1.0])]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows] + [(100, [1e307, 1.0]), (7, [-1e307, 1.0])], "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in top_k(df, F.col("vec_id") % 50 == 0).collect()}
+    top = lambda q: [got[q, r] for r in (1, 2, 3)]
+    assert (top(0), top(50), top(100)) == tuple([(i, 2**63 - 1) for i in ids] for ids in ((1, 4, 50), (0, 1, 100), (0, 1, 4))) and len(got) == 15
+    assert got[100, 4] == (50, 2**63 - 1) and got[100, 5] == (3, 0) and got[50, 4] == (4, 512 * 128)
+
+
+def test_blocks_that_cannot_hold_a_best_vector_are_skipped():
+    rng = np.random.default_rng(7)
+    centres = rng.normal(0, 1, (40, 32))
+    x = np.floor(256 * (centres[rng.integers(0, 40, 8000)] + rng.normal(0, 0.1, (8000, 32))))
+    shard = Shard(np.arange(8000), x)
+    for q in range(0, 8000, 400):
+        ids, scores = shard.search(q, x[q], 5)
+        s = x @ x[q]
+        s[q] = -np.inf
+        best = np.lexsort((np.arange(8000), -s))[:5]
+        assert list(ids) == list(best) and scores == [int(v) for v in s[best]]
+    assert shard.read < 0.25 * shard.all
