@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 import zstandard
@@ -92,14 +93,26 @@ def candidates(text: str) -> list[tuple[int, int]]:
     return found
 
 
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans in order, those that overlap as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            a, b = out[-1][0], max(b, out.pop()[1])
+        out.append((a, b))
+    return out
+
+
 def uncovered(text: str, start: int, end: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The parts of text[start:end] outside the spans `taken` (sorted) that have a letter or digit."""
+    """The parts of text[start:end] outside the spans `taken`, which are merged, that have a letter or digit."""
     parts, at = [], start
-    for a, b in taken:
-        if a < end and at < b:
-            if a > at:
-                parts.append((at, a))
-            at = max(at, b)
+    for k in range(bisect_left(taken, start, key=lambda x: x[1]), len(taken)):
+        a, b = taken[k]
+        if a >= end:
+            break
+        if a > at:
+            parts.append((at, a))
+        at = max(at, b)
     parts.append((at, end))
     return [(a, b) for a, b in parts if any(c.isalnum() for c in text[a:b])]
 
@@ -109,7 +122,7 @@ def spans_of(text: str | None, novelty: Novelty, novel: float = NOVEL) -> list[t
     if not text:
         return []
     found = [(*s, None) for s in base_spans(text)]
-    taken = sorted((s[1], s[2]) for s in found)
+    taken = merged([(s[1], s[2]) for s in found])
     places: dict[str, list[tuple[int, int]]] = {}
     for s, e in candidates(text):
         places.setdefault(text[s:e], []).append((s, e))

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import random
 import re
+import string
 
 from tessera.llm.secrets import Novelty, base_spans, find_secrets, redact, redact_text, spans_of
 
@@ -71,3 +73,31 @@ def test_a_secret_that_is_written_again_is_found_everywhere():
     secret = "zQ8vXk2LmN4pRt7wYb1C"
     for t in (f"session_id={secret}\n" * 40, f"credential {secret} and {'plain words in between ' * 5}{secret}", f"credential {secret} client {secret}"):
         assert secret not in redact_text(t, spans_of(t, m)) and len(spans_of(t, m)) == t.count(secret)
+
+
+def test_recall_and_precision_on_planted_secrets():
+    """Random keys in code and settings, against identifiers, words and paths in the same places."""
+    rng, m = random.Random(11), Novelty()
+    letters, digits = string.ascii_letters, string.ascii_letters + string.digits
+    ways = ["client_secret: {}", "Authorization: Bearer {}", "export API_KEY={}", "private key\n{}\n", "db_pwd = '{}'", "session={}; path=/", "signing key is {} today", '"access_key": "{}",']
+    plain = ["client_secret: {}", "Authorization: {}", "export API_KEY_FILE={}", "private key\n{}\n", "access {}", "session={}", "token {} here"]
+    names = ["the_name_of_the_setting", "responsibilities", "configuration.default.path", "application/environment", "CONNECTION_STRING_NAME", "xxxxxxxxxxxxxxxxxxxx", "internationalization", "your_token_here", "import_from_module"]
+    found = missed = wrong = 0
+    for k in range(400):
+        secret = "".join(rng.choices(digits if k % 3 else letters, k=rng.randrange(16, 44)))
+        text = "some words of code before it = 1; " * (k % 4) + ways[k % len(ways)].format(secret) + " return value" * (k % 3)
+        hit = any(text[s[3] : s[2]] == secret for s in spans_of(text, m)) or secret not in redact_text(text, spans_of(text, m))
+        found, missed = found + hit, missed + (not hit)
+        wrong += bool(spans_of(plain[k % len(plain)].format(names[k % len(names)]), m))
+    recall, precision = found / (found + missed), found / (found + wrong)
+    assert recall >= 0.95 and precision >= 0.8, (recall, precision)
+
+
+def test_redaction_of_odd_documents(spark, odd_docs, no_docs):
+    got = redact(odd_docs)
+    assert got.columns == odd_docs.columns and redact(no_docs).count() == 0
+    assert sorted(map(str, got.collect())) == sorted(map(str, odd_docs.collect()))
+    long = "plain words, " * 40_000 + 'token = "0123456789abcdef0123"'
+    rows = [(i, long, "en", "a", len(long)) for i in (1, 1, None)]
+    out = redact(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()
+    assert [r["text"] for r in out] == [long.replace("0123456789abcdef0123", "[assign]")] * 3 and {r["n_chars"] for r in out} == {len(long) - 12}
