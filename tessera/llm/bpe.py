@@ -34,8 +34,8 @@ from tessera.llm.common import map_texts
 #: Up to this character all versions of Unicode agree on what letters, numbers and spaces are. Texts with others are split
 #: by the library.
 AGREED = 0x557
-#: Words whose ids a worker keeps, and arcs, each twice over.
-KEPT_WORDS, KEPT_STEPS = 60_000, 60_000
+#: Words whose ids a worker keeps, twice over, and arcs that it keeps before it starts anew.
+KEPT_WORDS, KEPT_STEPS = 100_000, 200_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -58,6 +58,10 @@ def splitter() -> re.Pattern:
     return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^{space}{letters}{numbers}]+|[{space}]+(?![^{space}])|[{space}]+")
 
 
+#: The transitions of a node at which all labels end.
+_NO_STEPS: dict[int, int] = {}
+
+
 class Automaton:
     """The tokenization automaton of a tokenizer file's text (the JSON of the tokenizers library: byte-level BPE)."""
 
@@ -88,8 +92,8 @@ class Automaton:
         self.last = len(model["merges"])
         self.sizes = [len(self.labels.get(i, b"")) for i in range(n)]
         self._compile_labels([i for i in range(n) if self.born[i] >= 0])
-        self.arcs: dict[int, bool] = {}
-        self.older_arcs: dict[int, bool] = {}
+        self.kept: list[dict[int, bool]] = []
+        self.asked = 0
         self.words: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
         self.split = splitter().findall
@@ -97,10 +101,11 @@ class Automaton:
         self._library = None
 
     def _compile_labels(self, states: list[int]) -> None:
-        """The tables of the automaton over bytes: steps ((node, byte) to node), beyond (the node of the longest proper
-        ending of a node's bytes that begins a label), and ends (the tokens that can end at a node, the longest first).
-        Nodes are numbered by length, so that each one's ending comes before it."""
-        self.steps: dict[int, int] = {}
+        """The tables of the automaton over bytes: steps (by node, the transitions by byte), beyond (the node of the longest proper
+        ending of a node's bytes that begins a label), and ends (the tokens that can end at a node, the longest first, each
+        with its length and the states that it was asked to follow). Nodes are numbered by length, so that each one's
+        ending comes before it."""
+        self.steps: list[dict[int, int]] = [{}]
         self.beyond, self.ends = [0], [()]
         level = {0: [(self.labels[i], i) for i in states]}  # the labels that go on from each node
         depth = 0
@@ -108,21 +113,23 @@ class Automaton:
             deeper: dict[int, list[tuple[bytes, int]]] = {}
             for node, labels in level.items():
                 for label, i in labels:
-                    key = node << 8 | label[depth]
-                    to = self.steps.get(key)
+                    to = self.steps[node].get(label[depth])
                     if to is None:
-                        to = self.steps[key] = len(self.beyond)
+                        to = self.steps[node][label[depth]] = len(self.beyond)
+                        self.steps.append(_NO_STEPS)
                         self.beyond.append(self.next(self.beyond[node], label[depth]) if node else 0)
                         self.ends.append(self.ends[self.beyond[to]])
                     if len(label) == depth + 1:
-                        self.ends[to] = (i, *self.ends[self.beyond[to]])
+                        self.ends[to] = ((i, len(label), {}), *self.ends[self.beyond[to]])
                     else:
+                        if self.steps[to] is _NO_STEPS:
+                            self.steps[to] = {}
                         deeper.setdefault(to, []).append((label, i))
             level, depth = deeper, depth + 1
 
     def next(self, node: int, byte: int) -> int:
         """The transition from a node by a byte. Each byte is a token, so that the first node has one for all."""
-        while (to := self.steps.get(node << 8 | byte)) is None and node:
+        while (to := self.steps[node].get(byte)) is None:
             node = self.beyond[node]
         return to
 
@@ -142,12 +149,16 @@ class Automaton:
             else:
                 a, b, k = self.right[a], self.left[b], x - 1
 
-    def _ask(self, key: int) -> bool:
-        """Whether an arc is there, kept with those asked for lately."""
-        if len(self.arcs) >= KEPT_STEPS:
-            self.older_arcs, self.arcs = self.arcs, {}
-        found = self.older_arcs.get(key)
-        found = self.arcs[key] = self.arc(key >> 32, key & 0xFFFFFFFF, self.last) if found is None else found
+    def _ask(self, before: int, token: int, known: dict[int, bool]) -> bool:
+        """Whether a token may follow a state; kept with what it was asked before."""
+        if self.asked >= KEPT_STEPS:
+            for k in self.kept:
+                k.clear()
+            self.kept, self.asked = [], 0
+        if not known:
+            self.kept.append(known)
+        self.asked += 1
+        found = known[before] = self.arc(before, token, self.last)
         return found
 
     def encode_word(self, word: str) -> tuple[int, ...]:
@@ -155,20 +166,20 @@ class Automaton:
         follow the state where it begins is the state at this place. Then back from the last state, token by token."""
         text = word.encode("utf-8", "surrogatepass")
         states, node, place = [-1], 0, 0
-        sizes, ends, steps, beyond, arcs = self.sizes, self.ends, self.steps, self.beyond, self.arcs
+        sizes, ends, steps, beyond = self.sizes, self.ends, self.steps, self.beyond
         for byte in text:
             place += 1
-            while (to := steps.get(node << 8 | byte)) is None and node:
+            while (to := steps[node].get(byte)) is None:
                 node = beyond[node]
             node = to
-            for token in ends[node]:
-                before = states[place - sizes[token]]
+            for token, size, known in ends[node]:
+                before = states[place - size]
                 if before < 0:
                     break
-                known = arcs.get(key := before << 32 | token)
-                if known is None:
-                    known, arcs = self._ask(key), self.arcs
-                if known:
+                found = known.get(before)
+                if found is None:
+                    found = self._ask(before, token, known)
+                if found:
                     break
             states.append(token)
         ids = []
