@@ -8,14 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.functions.ranges import Cells
 from tessera.llm.common import SPACE, pick
 
 #: A text is read as tokens: words, cut after each TOKEN characters, so that texts without spaces have tokens too.
 TOKEN = 4
 #: Tokens of a gram, and grams of a window. Equal runs of GRAM + WINDOW - 1 tokens always share a fingerprint.
 GRAM, WINDOW = 4, 4
-#: Documents of a range that one task orders, and ranges at most.
-RANGE_ROWS, MOST_RANGES = 1000, 65535
+#: Documents of a range, which are ordered together.
+RANGE_ROWS = 1000
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -89,36 +90,23 @@ def fingerprint_documents(docs: DataFrame, gram: int = GRAM, window: int = WINDO
     return base.select("doc_id", winnow(F.coalesce("text", F.lit("")), gram, window).alias("fingerprint"))
 
 
-def _range_of(value: Column, splits: list) -> Column:
-    """How many of the sorted splits are at most `value`, by binary search; 0 for null."""
-    if not splits:
-        return F.lit(0)
-    step, steps = 1 << (len(splits).bit_length() - 1), []
-    while step:
-        steps.append(step)
-        step //= 2
-    all_splits = F.array(*[F.lit(s) for s in splits])
-    return let(all_splits, lambda s: F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), lambda at, x: F.when(F.get(s, at + x - 1) <= value, at + x).otherwise(at)))
-
-
-def with_next(base: DataFrame, range_rows: int = RANGE_ROWS, most_ranges: int = MOST_RANGES) -> tuple[DataFrame, W]:
+def with_next(base: DataFrame, range_rows: int = RANGE_ROWS) -> tuple[DataFrame, W]:
     """The rows (doc_id, text), n_chars, and next_text, the text of the next row in descending order of doc_id (after
     the last: of the first), with the window that orders them; rows with `guard` are to be left out in the end.
 
-    Ids are cut into ranges at approximate quantiles; each range also gets the row that follows its last one, which is
-    the first row of the next range. So each text is shuffled once, and no task orders all rows. Null ids come last;
-    rows of one id are ordered by a hash of their texts.
+    Ids are cut into ranges of about `range_rows` rows; see Cells, which has up to 2 ** 20 of them, with a table of bounded size for
+    their splits. Each range also gets the row that follows its last one, which is the first row of the next range. So each
+    text is shuffled once, and no task orders all rows. Null ids come last; rows of one id are ordered by a hash of their texts.
     """
-    rows = base.select(F.count("*")).first()[0]
-    n = min(most_ranges, rows // range_rows)
-    cuts = base.select(F.percentile_approx("doc_id", [k / (n + 1) for k in range(1, n + 1)], 20 * (n + 1))).first()[0] if n else []
-    ranged = base.withColumn("range", _range_of(F.col("doc_id"), sorted(set(cuts or []))))
-    heads = ranged.groupBy("range").agg(F.max("doc_id").alias("head"))  # a row for each range
+    place = F.col("doc_id").cast("double")
+    ranges = Cells.of(base.select(place.alias("v")), base.select(F.count("*")).first()[0], range_rows)
+    rows = ranges.put(base, place, "range")
+    heads = rows.groupBy("range").agg(F.max("doc_id").alias("head"))  # a row for each range
     below = W.orderBy("range")
     heads = heads.select("head", F.coalesce(F.lead("range").over(below), F.min("range").over(W.partitionBy())).alias("to"))
     guards = base.join(F.broadcast(heads), base["doc_id"].eqNullSafe(heads["head"])).select("doc_id", "text", F.col("to").alias("range"), F.lit(True).alias("guard"))
     order = W.partitionBy("range").orderBy("guard", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
-    out = ranged.withColumn("guard", F.lit(False)).unionByName(guards)
+    out = rows.withColumn("guard", F.lit(False)).unionByName(guards)
     return out.withColumn("next_text", F.lead("text").over(order)), order
 
 
