@@ -114,8 +114,12 @@ def _refined(compact: DataFrame, edge: DataFrame, level: int) -> DataFrame:
     e = edge.select(F.col("source").alias("_source"), "prefix")
     inside = compact.join(e, F.col("source").eqNullSafe(F.col("_source")) & (F.shiftrightunsigned("key", (LEVELS - level + 1) * LEVEL_BITS) == F.col("prefix")))
     buckets = inside.groupBy("source", F.shiftrightunsigned("key", (LEVELS - level) * LEVEL_BITS).alias("bucket")).agg(F.sum("size").alias("words"))
-    upto = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    below = buckets.withColumn("below", F.coalesce(F.sum("words").over(upto), F.lit(0)))
+    # sums below each bucket, by groups of buckets first, so that no task has all buckets of a source
+    buckets = buckets.withColumn("group", F.shiftright("bucket", LEVEL_BITS // 2))
+    before = lambda keys, by: F.coalesce(F.sum("words").over(W.partitionBy(*keys).orderBy(by).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    groups = buckets.groupBy("source", "group").agg(F.sum("words").alias("words")).select(F.col("source").alias("_of"), F.col("group").alias("_group"), before(["source"], "group").alias("_under"))
+    below = buckets.withColumn("_inside", before(["source", "group"], "bucket")).join(groups, F.col("source").eqNullSafe(F.col("_of")) & (F.col("group") == F.col("_group")))
+    below = below.select("source", "bucket", "words", (F.col("_under") + F.col("_inside")).alias("below"))
     found = below.join(edge.select(F.col("source").alias("_source"), "rest"), F.col("source").eqNullSafe(F.col("_source")) & (F.col("below") <= F.col("rest")) & (F.col("rest") < F.col("below") + F.col("words")))
     found = found.select(F.col("source").alias("_source"), "bucket", "below", "words")
     out = edge.join(found, F.col("source").eqNullSafe(F.col("_source")), "left")
