@@ -14,8 +14,8 @@ from tessera.llm.common import pick, written
 
 #: Keys have KEY_BITS bits; the last DOC_BITS come from the document's id, the others from its text.
 KEY_BITS, DOC_BITS = 62, 22
-#: Probes for each open splitter and round.
-PROBES = 64
+#: Probes for each open splitter and round, and of all splitters together, but for 4 each.
+PROBES, MOST_PROBES = 64, 1 << 18
 
 
 def shard_key(doc_id: Column, text: Column) -> Column:
@@ -78,7 +78,7 @@ def find_splitters(keyed: DataFrame, total: int, parts: int, tolerance: np.ndarr
                 hi[i], at_hi[i] = keys[k], sums[k]
 
 
-def shard_by_bytes(docs: DataFrame, shards: int = 16, tolerance: float = 0.005, part_rows: int = 200_000, most_parts: int = 256, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard_by_bytes(docs: DataFrame, shards: int = 16, tolerance: float = 0.005, part_rows: int = 200_000, most_parts: int = 2048, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Deals documents into `shards` shards of near equal bytes: doc_id, size (UTF-8 bytes plus 1), text_crc32, key,
     shard (from 0), slot (gapless from 0 in each shard, in the order of the key).
 
@@ -99,7 +99,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, tolerance: float = 0.005,
     parts = shards * per_shard
     loose = np.full(parts - 1, 0.25 * total / parts)
     loose[per_shard - 1 :: per_shard] = tolerance * total / shards
-    splitters = np.maximum.accumulate(find_splitters(keyed, int(total), parts, loose)) if rows else np.zeros(parts - 1, dtype=np.int64)
+    splitters = np.maximum.accumulate(find_splitters(keyed, int(total), parts, loose, max(4, min(PROBES, MOST_PROBES // parts)))) if rows else np.zeros(parts - 1, dtype=np.int64)
 
     @F.pandas_udf("int")
     def part_of(key: pd.Series) -> pd.Series:
