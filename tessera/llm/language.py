@@ -10,13 +10,12 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tessera.llm.common import map_rows, map_texts
-from tessera.llm.training import excerpts, sample_by_label
+from tessera.llm.training import sample_by_label
 
-#: Labelled rows of each language that a model is fitted on, and languages, at most.
-SAMPLE_ROWS, MOST_LANGUAGES = 400, 64
+#: Labelled rows of each language that a model is fitted on, at most.
+SAMPLE_ROWS = 400
 #: Character n-grams of 1 to GRAMS characters are hashed to 2 ** HASH_BITS features.
 GRAMS, HASH_BITS = 3, 13
 #: Characters that are counted at a time.
@@ -31,11 +30,16 @@ FAMILIES = {
     "indic": "hi bn mr gu pa ur ne",
 }
 FAMILY_OF = {code: name for name, codes in FAMILIES.items() for code in codes.split()}
-_LETTER = re.compile(r"[^\W\d_]")
+_LATIN = re.compile("[A-Za-z]")
 #: Lengths of texts, as powers of 2, for which chance is measured, and texts of letters at random for each.
 LENGTHS, DRAWN = range(4, 13), 32
 
 
+def has_letter(text: str) -> bool:
+    """Whether a text has a letter: a character of one of the Unicode categories L."""
+    return bool(_LATIN.search(text)) or any(map(str.isalpha, text))
+
+
 def features(text: str) -> np.ndarray:
     """Square roots of the shares of a whole text's character n-grams, a vector of length 1."""
     codes = np.frombuffer(re.sub(r"\s+", " ", f" {text.lower()} ").encode("utf-32-le", "replace"), dtype=np.uint32)
@@ -132,12 +136,12 @@ def chance(profile: np.ndarray, texts: list[str]) -> np.ndarray:
     return np.array([np.quantile([features(t) @ profile for t in some], 0.95) for some in drawn])
 
 
-def fit_language(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, most_languages: int = MOST_LANGUAGES, chances: bool = False) -> LanguageModel:
-    """A model from (doc_id, label, text): a bounded sample of `sample_rows` rows of each of the `most_languages` most
-    frequent labels at most. Families are told apart one against the rest, the languages of a family one against one. With
+def fit_language(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, chances: bool = False) -> LanguageModel:
+    """A model from (doc_id, label, text): a bounded sample of `sample_rows` rows of each label at most, with whole texts; see
+    sample_by_label. Families are told apart one against the rest, the languages of a family one against one. With
     `chances`, the model also knows what texts of each language resemble, and texts by chance."""
-    rows = sample_by_label(labelled.select("doc_id", "label"), labelled.select("doc_id", "text"), sample_rows, most_languages).select("doc_id", "label", excerpts(F.col("text")).alias("text")).toPandas()
-    rows = rows[np.array([bool(t) and bool(_LETTER.search(t)) for t in rows["text"]], dtype=bool)].sort_values(["label", "doc_id"], kind="stable")
+    rows = sample_by_label(labelled.select("doc_id", "label"), labelled.select("doc_id", "text"), sample_rows).toPandas()
+    rows = rows[np.array([bool(t) and has_letter(t) for t in rows["text"]], dtype=bool)].sort_values(["label", "doc_id", "text"], kind="stable")
     if rows.empty:
         return LanguageModel()
     x = np.stack([features(t) for t in rows["text"]])
@@ -164,7 +168,7 @@ def _predicted(model: LanguageModel, texts: list[str | None]) -> tuple[list[str]
 def _judged(model: LanguageModel, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Language and score of each text, and whether it resembles its language more than by chance, if the model knows."""
     lang, score, better = ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), dtype=bool)
-    known = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
+    known = [i for i, t in enumerate(texts) if t and has_letter(t)]
     for at in range(0, len(known), 256):
         some = known[at : at + 256]
         x = np.stack([features(texts[i]) for i in some])

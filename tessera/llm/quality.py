@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import random
+from bisect import bisect_right
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import zstandard
@@ -10,28 +13,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import map_texts
-from tessera.llm.training import excerpts, sample_by_label
+from tessera.llm.training import sample_by_label
 
 #: Labelled rows of each class that a model is fitted on, at most.
 SAMPLE_ROWS = 1200
 #: Bytes of a dictionary, and of the pieces in which texts are compressed.
 DICT_BYTES, PIECE = 384 << 10, 1024
 LEVEL = 7
-#: Bytes at which a text's length counts half.
+#: Bytes that are added to a text's before its difference is divided by them: of a short text little is known.
 SHORT = 100
 
 
-def build_dictionary(texts: list[str], size: int = DICT_BYTES, piece: int = 256) -> bytes:
-    """Pieces of the texts in turn, one of each text and then the next ones, up to `size` bytes."""
+def build_dictionary(texts: list[str], size: int = DICT_BYTES, piece: int = 64) -> bytes:
+    """All of the texts, or `size` bytes of pieces drawn from them: whole texts are cut into pieces, and each is as likely
+    to be drawn, wherever it stands."""
     raw = [t.encode("utf-8", "replace") for t in texts]
-    out, total, at = [], 0, 0
-    while total < size and any(len(r) > at for r in raw):
-        for r in raw:
-            if part := r[at : at + piece]:
-                out.append(part)
-                total += len(part)
-        at += piece
-    return b"\n".join(out)[:size]
+    ends = list(accumulate(-(-len(r) // piece) for r in raw))
+    if not ends or sum(map(len, raw)) <= size:
+        return b"\n".join(raw)
+    drawn = random.Random(0).sample(range(ends[-1]), min(ends[-1], -(-size // piece)))
+    out = []
+    for n in drawn:
+        k = bisect_right(ends, n)
+        at = (n - (ends[k - 1] if k else 0)) * piece
+        out.append(raw[k][at : at + piece])
+    return b"".join(out)[:size]
 
 
 @dataclass
@@ -40,7 +46,7 @@ class QualityModel:
 
     good: bytes = b""
     bad: bytes = b""
-    weights: tuple[float, ...] = (0.0, 0.0, 0.0)
+    weights: tuple[float, ...] = (0.0, 0.0)
 
     def compressors(self) -> tuple[zstandard.ZstdCompressor, ...]:
         out = []
@@ -51,9 +57,9 @@ class QualityModel:
         return tuple(out)
 
 
-def evidence(text: str | None, good: zstandard.ZstdCompressor, bad: zstandard.ZstdCompressor) -> tuple[float, float, float]:
-    """What a text's score depends on: how many bytes fewer the good dictionary needs than the bad one, for each byte of
-    the text (0 if neither helps, as in repetitions, which need next to nothing); its length, from 0 to 1; and 1.
+def evidence(text: str | None, good: zstandard.ZstdCompressor, bad: zstandard.ZstdCompressor) -> tuple[float, float]:
+    """What a text's score depends on: how many bytes fewer the good dictionary needs than the bad one, divided by the
+    text's bytes and SHORT (0 if neither helps, as in repetitions, which need next to nothing); and 1.
 
     The whole text is compressed, in pieces, so that what it says of itself doesn't outweigh the dictionaries."""
     raw = (text or "").encode("utf-8", "replace")
@@ -61,7 +67,7 @@ def evidence(text: str | None, good: zstandard.ZstdCompressor, bad: zstandard.Zs
     for at in range(0, len(raw), PIECE):
         part = raw[at : at + PIECE]
         saved += len(bad.compress(part)) - len(good.compress(part))
-    return saved / max(1, len(raw)), len(raw) / (len(raw) + SHORT), 1.0
+    return saved / (len(raw) + SHORT), 1.0
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -77,7 +83,8 @@ def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def fit_quality(labels: DataFrame, texts: DataFrame, sample_rows: int = SAMPLE_ROWS) -> QualityModel:
-    """A model from (doc_id, label 0 or 1) and (doc_id, text): a bounded sample of `sample_rows` rows of each class at most.
+    """A model from (doc_id, label 0 or 1) and (doc_id, text): a bounded sample of `sample_rows` rows of each class at most,
+    with whole texts; see sample_by_label.
 
     Half of the sample builds dictionaries by which the other half is scored, and the other way round; a logistic curve
     is fitted to those scores, with each class weighing as it does among all labelled rows. The dictionaries of the
@@ -86,8 +93,8 @@ def fit_quality(labels: DataFrame, texts: DataFrame, sample_rows: int = SAMPLE_R
     counts = {r["label"]: r["n"] for r in labels.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return QualityModel()
-    rows = sample_by_label(labels, texts, sample_rows, 2).select("doc_id", "label", excerpts(F.col("text")).alias("text")).toPandas()
-    rows = rows[rows["text"].fillna("") != ""].sort_values(["label", "doc_id"], kind="stable").reset_index(drop=True)
+    rows = sample_by_label(labels, texts, sample_rows).toPandas()
+    rows = rows[rows["text"].fillna("") != ""].sort_values(["label", "doc_id", "text"], kind="stable").reset_index(drop=True)
     texts = {k: rows.loc[rows["label"] == k, "text"].tolist() for k in (0, 1)}
     if min(map(len, texts.values())) < 2:
         return QualityModel()
@@ -101,7 +108,7 @@ def fit_quality(labels: DataFrame, texts: DataFrame, sample_rows: int = SAMPLE_R
             y += [k] * len(own)
     y = np.array(y, dtype=float)
     weights = logistic(np.array(x), y)
-    weights[2] += np.log(counts[1] / counts[0] / (sum(y == 1) / sum(y == 0)))
+    weights[1] += np.log(counts[1] / counts[0] / (sum(y == 1) / sum(y == 0)))
     return QualityModel(build_dictionary(texts[1]), build_dictionary(texts[0]), tuple(weights))
 
 
@@ -115,7 +122,7 @@ def score_quality(docs: DataFrame, model: QualityModel, *, id_col: str = "doc_id
         good, bad = m.compressors() if m.good else (None, None)
 
         def work(texts: list[str | None]) -> list[list]:
-            x = np.array([evidence(t, good, bad) if m.good else (0.0, 0.0, 0.0) for t in texts]).reshape(-1, 3)
+            x = np.array([evidence(t, good, bad) if m.good else (0.0, 0.0) for t in texts]).reshape(-1, 2)
             return [1 / (1 + np.exp(-np.clip(x @ np.array(m.weights), -30, 30)))]
 
         return work
