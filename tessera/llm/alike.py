@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -11,148 +11,213 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import pieces, written
+from tessera.llm.common import discard, give_back, pieces, written
 from tessera.llm.components import components
 
-#: Shingles are counted in 2 ** SKETCH_BITS counters, whatever the number of texts.
+#: Shingles are counted in 2 ** SKETCH_BITS counters in each task, whatever the number of texts.
 SKETCH_BITS = 20
-#: A shingle that more texts meet at is searched through its smallest text first, and then between groups only.
+#: A shingle that more texts meet at is searched by size of their sets, and between groups only.
 CROWD = 32
+#: Ratio of the sizes that fall together there.
+STEP = 1.02
+#: Bits of a set's signature.
+SIGNATURE = 2048
+#: Texts that a task remembers; rows of a table that are broadcast at most, and else joined by shuffles.
+SEEN, FEW = 50_000, 250_000
 
 
 def gram_set(text: str | None, shingle: int = 5) -> np.ndarray:
     """The XXH64 hashes of a text's different word shingles, sorted; words and short texts as in simhash_text."""
     words = (text or "").encode("utf-8", "replace").lower().split()  # of bytes, these see ASCII only
     if not words:
-        return np.zeros(0, dtype="<u8")
+        return np.zeros(0, dtype="<i8")
     joined = b" ".join(words)
     ends = list(accumulate(len(w) + 1 for w in words))
     n = max(1, len(words) - shingle + 1)
     digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[a : b - 1]) for a, b in zip([0, *ends[: n - 1]], ends[-n:], strict=True)], dtype="<u8"))
+    return np.unique(np.array([digest(joined[a : b - 1]) for a, b in zip([0, *ends[: n - 1]], ends[-n:], strict=True)], dtype="<u8").view("<i8"))
 
 
-def gram_sets(texts: DataFrame, shingle: int = 5) -> DataFrame:
-    """(doc_id, content, grams), written, of (doc_id, text): the set as bytes, and a 128-bit hash of it."""
+def node_of(grams: np.ndarray) -> int:
+    """What a set of shingles is called: n different sets share a name with a chance of n * n / 2 ** 65."""
+    return xxhash.xxh3_64_intdigest(grams.tobytes()) - (1 << 63)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, 1):
-            grams = [gram_set(t, shingle).tobytes() for t in b.column(1).to_pylist()]
-            arrays = [b.column(0), pa.array([xxhash.xxh3_128_hexdigest(g) for g in grams]), pa.array(grams, type=pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "content", "grams"])
 
-    return written(texts.mapInArrow(work, "doc_id long, content string, grams binary"), "alike-sets")
+def signature(grams: np.ndarray) -> np.ndarray:
+    """A bit for each value of the lowest bits that the set's hashes have, as longs."""
+    bits = np.zeros(SIGNATURE, dtype=np.uint8)
+    bits[grams.view(np.uint64) & np.uint64(SIGNATURE - 1)] = 1
+    return np.packbits(bits).view("<i8")
+
+
+def _counter(grams: np.ndarray) -> np.ndarray:
+    return (grams.view(np.uint64) >> np.uint64(64 - SKETCH_BITS)).astype(np.int32)
+
+
+def _longs(values: list[int]) -> pa.Array:
+    return pa.array(values, type=pa.int64())
+
 
+def describe(texts: DataFrame, fingerprint: Callable[[str | None], int] = lambda text: 0) -> DataFrame:
+    """(doc_id, mark, node, fp, size, bits, at, n), written, of (doc_id, text): a row for each text, with a hash of it, the name of its
+    set of five-word shingles, its fingerprint as a long, and the size and signature of the set; and from each task, with `at` and n only, the
+    counters of shingles that stand out, which are those of shingles that many texts have. All texts are counted."""
 
-def needed(size: np.ndarray | Column, least: float, ceil=np.ceil):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(1 << SKETCH_BITS, dtype=np.int32)
+        for b in pieces(batches, 2):
+            texts, none = b.column(2).to_pylist(), pa.nulls(b.num_rows)
+            sets = [gram_set(t) for t in texts]
+            for g in sets:
+                sums[_counter(g)] += 1  # two of a text's shingles in one counter count once
+            fps = pa.array(np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64))
+            width = SIGNATURE // 64
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(0, width * len(sets) + 1, width, dtype=np.int32)), pa.array(np.concatenate([signature(g) for g in sets])))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _longs([node_of(g) for g in sets]), fps, pa.array(map(len, sets), type=pa.int32()), bits, none.cast(pa.int32()), none.cast(pa.int64())], names=names)
+        usual = sums.mean()
+        at = np.flatnonzero(sums > usual + 4 * usual**0.5 + 1).astype(np.int32)
+        empty = pa.nulls(len(at), pa.int64())
+        yield pa.RecordBatch.from_arrays([empty, empty, empty, empty, empty.cast(pa.int32()), pa.nulls(len(at), pa.list_(pa.int64())), pa.array(at), pa.array(sums[at].astype(np.int64))], names=names)
+        del sums
+        give_back()
+
+    names = ["doc_id", "mark", "node", "fp", "size", "bits", "at", "n"]
+    return written(_marked(texts).mapInArrow(work, "doc_id long, mark long, node long, fp long, size int, bits array<bigint>, at int, n long"), "alike-texts")
+
+
+def _marked(texts: DataFrame) -> DataFrame:
+    return texts.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+
+
+def needed(size: float | Column, least: float, ceil=np.ceil):
     """How many of a text's `size` shingles another must have to be alike to `least`."""
     return ceil(size * least - 1e-9)
 
 
-def commonness(sets: DataFrame) -> np.ndarray:
-    """A level from 0 to 255 for each counter of shingles: the more texts have them, the higher. It only orders shingles,
-    so that counters which many shingles share do no harm but to speed."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-        for b in batches:
-            grams = np.frombuffer(b"".join(b.column(0).to_pylist()), dtype="<u8")
-            sums += np.bincount((grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sums))
-        at = np.flatnonzero(sums)
-        for k in range(0, len(at), 1 << 16):
-            some = at[k : k + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(sums[some])], names=["at", "n"])
-
-    counts = written(sets.select("grams").mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")), "alike-counts")
-    usual = max(1.0, 2.0 * (counts.agg(F.sum("n")).first()[0] or 0) / (1 << SKETCH_BITS))
-    level = F.least(F.floor(F.log2(F.col("n") / usual) * 4).cast("int") + 1, F.lit(255))
-    heavy = counts.where(F.col("n") > usual).select("at", level.alias("level")).toArrow()
+def levels(known: DataFrame) -> np.ndarray:
+    """A level from 0 to 255 for each counter of shingles: the more texts have them, the higher. It only orders shingles, so
+    that counters which many shingles share do no harm but to speed."""
+    level = F.least(F.floor(F.log2("n") * 4).cast("int") + 1, F.lit(255))
+    found = known.where("at is not null").groupBy("at").agg(F.sum("n").alias("n")).select("at", level.alias("level")).toArrow()  # up to 2 ** SKETCH_BITS
     out = np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
-    out[heavy["at"].to_numpy()] = heavy["level"].to_numpy()
+    out[found["at"].to_numpy()] = found["level"].to_numpy()
     return out
 
 
-def rarest(sets: DataFrame, least: float) -> DataFrame:
-    """(token, node, pos, size) for each shingle of a set (node, grams) by which it can meet another: so many of its rarest
-    that two sets alike to `least` have one of them in common."""
-    sent = sets.sparkSession.sparkContext.broadcast(commonness(sets))
+def rarest(texts: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    """(token, node, rest, size) for each shingle of a set by which it can meet another: so many of its rarest that two sets
+    alike to `least` have one of them in common. rest: how many of its shingles come from this one on. Of equal texts in a
+    task one is looked at, save for every SEEN others."""
+    sent = texts.sparkSession.sparkContext.broadcast(levels(known))  # a byte for each counter
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = sent.value
-        for b in pieces(batches, 1):
-            tokens, nodes, places, sizes = [], [], [], []
-            for node, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                grams = np.frombuffer(g, dtype="<u8")
-                n = len(grams)
-                if not n:
+        level, seen = sent.value, set()
+        for b in pieces(batches, 2):
+            held, count = [], 0
+            for mark, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if mark in seen:
+                    continue
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(mark)
+                grams = gram_set(text)
+                if (n := len(grams)) == 0:
                     continue
                 first = n - int(needed(n, least)) + 1
-                tokens.append(grams[np.lexsort((grams, level[(grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))[:first]])
-                nodes.append(np.full(first, node, dtype=np.int64))
-                places.append(np.arange(first, dtype=np.int32))
-                sizes.append(np.full(first, n, dtype=np.int32))
-            if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), *[pa.array(np.concatenate(x)) for x in (nodes, places, sizes)]], names=["token", "node", "pos", "size"])
-
-    return sets.select("node", "grams").mapInArrow(work, "token long, node long, pos int, size int")
+                tokens = grams[np.lexsort((grams, level[_counter(grams)]))[:first]]
+                held.append((tokens, np.full(first, node_of(grams)), np.arange(n, n - first, -1, dtype=np.int32), np.full(first, n, dtype=np.int32)))
+                count += first
+                if count > 1 << 16:
+                    yield _columns(held)
+                    held, count = [], 0
+            if held:
+                yield _columns(held)
+        del seen
+        give_back()
+
+    return _marked(texts).mapInArrow(work, "token long, node long, rest int, size int")
+
+
+def _columns(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names=["token", "node", "rest", "size"])
+
+
+def may_share(pairs: DataFrame, firsts: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b), written, without those whose signatures show that they are not alike to `least`: each bit that only one of
+    two sets has is a shingle, at least, that the other lacks. Of sets much larger than SIGNATURE it shows nothing."""
+    of = lambda x: firsts.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("bits").alias(f"bits_{x}"))
+    lacks = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda n, k: n + k)
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    most = F.least(F.col("size_a") - lacks("bits_a", "bits_b"), F.col("size_b") - lacks("bits_b", "bits_a"))
+    return written(both.where(most >= needed(F.col("size_a") + F.col("size_b"), least / (1 + least), F.ceil)).select("a", "b"), "alike-pairs")
+
+
+def share_enough(pairs: DataFrame, texts: DataFrame, firsts: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose sets are alike to `least` or more, written. `firsts` (node, first: doc_id, mark) tells which text
+    is a node's. Only sets of nodes that occur in a pair are made and shuffled."""
+    asked = firsts.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node")
+    asked = written(asked.select("node", F.col("first.doc_id").alias("_id"), F.col("first.mark").alias("_mark")), "alike-asked")
+    to = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark"))
+    found = _marked(texts).join(F.broadcast(asked) if asked.count() <= FEW else asked, to).select("node", "text")
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, 1):
+            sets = [gram_set(t) for t in b.column(1).to_pylist()]
+            ends = pa.array(np.cumsum([0, *map(len, sets)]), type=pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets)))], names=["node", "grams"])
+        give_back()
 
-def share_enough(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose sets are alike to `least` or more, written. Only sets that occur in a pair are shuffled."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    some = written(sets.select("node", "grams").join(asked, "node", "left_semi"), "alike-asked")
+    made = written(found.mapInArrow(work, "node long, grams array<bigint>"), "alike-some")
+    some = made.dropDuplicates(["node"]) if made.count() > asked.count() else made  # rows that repeat
     both = pairs.join(some.toDF("a", "left"), "a").join(some.toDF("b", "right"), "b")
+    enough = needed(F.size("left") + F.size("right"), least / (1 + least), F.ceil)
+    links = written(both.where(F.size(F.array_intersect("left", "right")) >= enough).select("a", "b"), "alike-links")
+    discard(asked, made)
+    return links
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            good = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8")
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(common / (len(x) + len(y) - common) >= least)
-            yield b.select([0, 1]).filter(pa.array(good, type=pa.bool_()))
-
-    return written(both.select("a", "b", "left", "right").mapInArrow(verify, "a long, b long"), "alike-links")
 
+def alike_links(texts: DataFrame, known: DataFrame, least: float, crowd: int = CROWD, proposed: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) between the nodes, which are the different sets of shingles of `texts` (doc_id, text), as `known` describes
+    them. Two nodes are linked, or linked through others, if and only if they are alike to `least`, or are so through
+    others. No pair is left out, however many sets meet.
 
-def alike_links(sets: DataFrame, least: float, crowd: int = CROWD) -> DataFrame:
-    """Links (a, b) between the sets (node, grams): two are linked, or linked through others, if and only if they are alike
-    to `least`, or are so through others. No pair is left out, however many sets meet.
+    Two sets alike to `least` have one of their rarest shingles in common, in an order that all share. First each set is
+    compared with the smallest node at each of its shingles, and with those with which it is `proposed` (a, b), as by
+    fingerprints; what is alike makes groups, so that a large group costs about one comparison for each set. Then sets of
+    different groups that meet are compared, all of them. A pair is left out of a comparison at a shingle only where its
+    place leaves too few shingles behind it for the likeness: if it is the first that both have in common, they can't be
+    alike, and else they meet at an earlier one. Where over `crowd` sets meet, those whose sizes allow it meet only.
 
-    Two sets alike to `least` have one of their rarest shingles in common, in an order that all share. At a shingle where
-    over `crowd` sets meet, each is compared with the smallest first; then sets of different groups only are paired, so
-    that a large group costs one comparison for each set, and others among it are still compared with all. Pairs are
-    dropped before their sets are compared only where the places of a shingle, or the number of shingles that the rarest
-    of both have in common, leave too few for the likeness.
+    Sets are made from the texts where they are needed, rather than stored: they are twice as large.
     """
-    rows = written(rarest(sets, least), "alike-rarest")
-    met = rows.groupBy("token").agg(F.count("*").alias("n"), F.min(F.struct("node", "pos", "size")).alias("first")).where("n > 1")
-    met = written(rows.join(met, "token"), "alike-met")
-
-    def possible(pos: Column, size: Column, pos2: Column, size2: Column) -> Column:
-        most = F.least(pos, pos2) + 1 + F.least(size - pos, size2 - pos2) - 1
-        return most >= needed(size + size2, least / (1 + least), F.ceil)
-
-    crowded = met.where(F.col("n") > crowd)
-    hub = F.col("first.node")
-    star = crowded.where((F.col("node") != hub) & possible(F.col("pos"), F.col("size"), F.col("first.pos"), F.col("first.size")))
-    star = written(star.select(hub.alias("a"), F.col("node").alias("b")).distinct(), "alike-star")
-    linked = share_enough(star, sets, least)
-    groups = written(components(linked), "alike-groups").toDF("node", "group")
-    known = written(met.drop("first").join(groups, "node", "left").withColumn("group", F.coalesce("group", "node")), "alike-grouped")
-
-    names = {"node": "node2", "pos": "pos2", "size": "size2", "group": "group2"}
-    few = known.where(F.col("n") <= crowd).drop("n")
-    sparse = few.join(few.withColumnsRenamed(names), "token").where((F.col("node") < F.col("node2")) & (F.col("group") != F.col("group2")))
-    many = known.where(F.col("n") > crowd).drop("n")
-    at = many.select("token", F.col("group").alias("group2")).distinct()
-    dense = many.join(at, "token").where(F.col("group") < F.col("group2")).join(many.withColumnsRenamed(names), ["token", "group2"])
-    columns = ["node", "pos", "size", "node2", "pos2", "size2"]
-    both = sparse.select(*columns).union(dense.select(*columns)).where(possible(F.col("pos"), F.col("size"), F.col("pos2"), F.col("size2")))
-    pair = [F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")]
-    sizes = [F.least("size", "size2").alias("low"), F.greatest("size", "size2").alias("high")]
-    counted = both.select(*pair, *sizes).groupBy("a", "b", "low", "high").agg(F.count("*").alias("common"))
-    beyond = needed(F.col("high"), least, F.ceil) - 1  # shingles of the larger set that are not among its rarest
-    enough = F.col("common") + beyond >= needed(F.col("low") + F.col("high"), least / (1 + least), F.ceil)
-    pairs = counted.where(enough).select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    return linked.union(share_enough(written(pairs, "alike-pairs"), sets, least))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    firsts = written(known.where("at is null").groupBy("node").agg(F.min(order).alias("first"), F.max("size").alias("size"), F.first("bits").alias("bits")), "alike-firsts")
+    ratio = least / (1 + least)
+    tokens = rarest(texts, known, least)
+    met = tokens.groupBy("token").agg(F.count("*").alias("n"), F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last")
+    met = written(tokens.join(met.drop("last"), "token"), "alike-met")
+
+    star = met.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    if proposed is not None:
+        star = star.union(proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    star = may_share(star, firsts, least)
+    linked = share_enough(star, texts, firsts, least)
+    groups = components(linked).toDF("node", "group")
+    known = met.where("n > 2").drop("hub").distinct().join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
+
+    # the larger of two sets probes the sizes that the smaller one can have; `rest` of both must reach what they need
+    step = lambda size: F.floor(F.log(size) / float(np.log(STEP))).cast("int")
+    crowded = F.col("n") > crowd
+    top = F.least(F.col("size"), F.floor(F.col("rest") / ratio - F.col("size") + 1e-6))
+    known = written(known.withColumn("top", top).withColumn("bottom", needed(F.col("size"), least, F.ceil)), "alike-known")
+    smaller = known.where(F.col("rest") >= needed(F.col("size") * 2, ratio, F.ceil)).select("token", F.when(crowded, step(F.col("size"))).otherwise(0).alias("band"), F.col("group").alias("group2"), F.col("node").alias("node2"), F.col("rest").alias("rest2"), F.col("size").alias("size2"))
+    bands = F.when(crowded, F.sequence(step(F.col("bottom")), step(F.col("top")))).otherwise(F.array(F.lit(0)))
+    larger = known.where("top >= bottom").select("token", "group", "node", "rest", "size", F.explode(bands).alias("band"))
+    at = smaller.select("token", "band", "group2").distinct()
+    both = larger.join(at, ["token", "band"]).where(F.col("group") != F.col("group2")).join(smaller, ["token", "band", "group2"])
+    fits = F.least("rest", "rest2") >= needed(F.col("size") + F.col("size2"), ratio, F.ceil)
+    both = both.where(((F.col("size2") < F.col("size")) | (F.col("size2") == F.col("size")) & (F.col("node2") < F.col("node"))) & fits)
+    pairs = both.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    pairs = may_share(pairs, firsts, least)
+    discard(met, known)
+    return linked.union(share_enough(pairs, texts, firsts, least))

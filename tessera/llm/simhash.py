@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.alike import alike_links, gram_sets
+from tessera.llm.alike import alike_links, describe
 from tessera.llm.common import map_texts, pick, written
 from tessera.llm.components import components
 
@@ -271,23 +271,36 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, tau: int = 2, *, id_col: s
     return marked.join(grouped, "fp").select("doc_id", "fp", "component_id")
 
 
-def near_copies(docs: DataFrame, least: float = LIKE, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents by group of near copies: doc_id, component_id (the smallest id reachable). Linked are all
-    texts whose five-word shingles have a likeness of `least` or more, and no others, whatever their fingerprints; see
-    alike_links, which leaves out no pair. Texts with the same set of shingles are one node, so copies make no pairs.
+def copy_groups(docs: DataFrame, least: float = LIKE, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, mark, component_id, first) for each row: mark is the XXH64 of its text, component_id the smallest id of its
+    group of near copies, and first tells the row of each group with the smallest id, then the smallest mark.
 
-    Nulls, empty texts, repeated rows, empty tables and other columns are treated as in simhash_groups.
+    Linked are all texts whose five-word shingles have a likeness of `least` or more, and no others. Fingerprints propose:
+    the pigeonhole search of near_links meets those within 2 bits, and texts of one fingerprint are met at one of them.
+    What is alike among those is one group, whatever its fingerprints say; alike_links meets the rest, of which copies of
+    `least` are often over 10 bits apart, at their rarest shingles, and leaves out no pair. Texts with the same set of
+    shingles are one node, so copies make no pairs.
     """
     texts = pick(docs, doc_id=id_col, text=text_col)
-    sets = gram_sets(texts)
-    distinct = written(sets.groupBy("content").agg(F.min("doc_id").alias("node")), "alike-distinct")
-    nodes = sets.join(distinct.where("node is not null").withColumnRenamed("node", "doc_id"), ["content", "doc_id"], "left_semi").withColumnRenamed("doc_id", "node")
-    if not nodes.groupBy("content").count().where("count > 1").isEmpty():  # rows that repeat
-        nodes = nodes.dropDuplicates(["content"])
-    nodes = written(nodes, "alike-nodes")
-    links = alike_links(nodes, least)
-    # an id that repeats with another text holds both texts' groups together
-    same = sets.where("doc_id is not null").join(distinct, "content").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    labels = components(links.union(same)).withColumnRenamed("id", "node")
-    grouped = written(distinct.join(labels, "node", "left").select("content", F.coalesce("component", "node").alias("component_id")), "alike-components")
-    return sets.join(grouped, "content").select("doc_id", "component_id")
+    known = describe(texts, simhash_text)
+    rows = known.where("at is null")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    firsts = written(rows.groupBy("node").agg(F.min(order).alias("first"), F.min("fp").alias("fp")), "alike-nodes")
+    distinct = written(firsts.groupBy("fp").agg(F.min("node").alias("node")), "alike-fingerprints")
+    same = firsts.select("fp", F.col("node").alias("b")).join(distinct.withColumnRenamed("node", "a"), "fp").where("a <> b").select("a", "b")
+    labels = components(alike_links(texts, known, least, proposed=near_links(distinct).union(same))).withColumnRenamed("id", "node")
+    grouped = written(firsts.join(labels, "node", "left").select("node", "first", F.coalesce("component", "node").alias("group")), "alike-components")
+    best = grouped.groupBy("group").agg(F.min("first").alias("best"))
+    named = grouped.join(best, "group").select("node", F.col("best.doc_id").alias("component_id"), F.col("best.mark").alias("_mark"))
+    first = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("mark") == F.col("_mark"))
+    return rows.select("doc_id", "mark", "node").join(named, "node").select("doc_id", "mark", "component_id", first.alias("first"))
+
+
+def near_copies(docs: DataFrame, least: float = LIKE, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Documents by group of near copies: doc_id, component_id (the smallest id of the group); see copy_groups.
+
+    Null and empty texts are copies of each other. Null ids come after all others: a group of null ids only has a null
+    component. Rows that repeat come back each, as do rows of one id with different texts, each in the group of its text.
+    An empty table gives no rows. Other columns are ignored.
+    """
+    return copy_groups(docs, least, id_col=id_col, text_col=text_col).select("doc_id", "component_id")

@@ -1,7 +1,13 @@
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+
+import public_tokenizers
+from test_alike import slow_groups
+from test_mixing import targets
+from tokenizers import Tokenizer
+
 import corpus_pipeline
-from tessera.llm.simhash import simhash_text
 
 
 def test_stages_keep_the_columns_and_take_effect(spark, tmp_path):
@@ -20,11 +26,18 @@ def test_stages_keep_the_columns_and_take_effect(spark, tmp_path):
         docs = out
     language, dedup, secrets, mixing, tokens = kept
     assert {r["doc_id"] for r in language} == {i for i, *_ in rows} - {300, 301}
-    fps = {}
-    for r in sorted(language, key=lambda r: r["doc_id"]):
-        fps.setdefault(simhash_text(r["text"]), r["doc_id"])
-    assert {r["doc_id"] for r in dedup} <= set(fps.values()) and not {r["doc_id"] for r in dedup} & {*range(200, 210), 303}
-    said = {r["doc_id"]: r["text"] for r in secrets}
-    assert said[302].endswith('token = "[assign]"') and said[5] == rows[5][1]
-    assert {r["doc_id"] for r in mixing} <= set(said) and len(tokens) == len(mixing)
-    assert all(r["n_tokens"] == len(r["ids"]) > 0 for r in tokens)
+    groups = slow_groups(sorted((r["doc_id"], r["text"]) for r in language))
+    assert sorted(r["doc_id"] for r in dedup) == sorted(i for i, g in groups.items() if i == g) and not {r["doc_id"] for r in dedup} & {*range(200, 210), 303}
+    said, before = ({r["doc_id"]: r["text"] for r in x} for x in (secrets, dedup))
+    assert said == before | {302: before[302].replace("0123456789abcdef0123", "[assign]")} and all(r["n_chars"] == len(r["text"]) for r in secrets)
+    size, taken = defaultdict(int), defaultdict(int)
+    for part, sums in ((secrets, size), (mixing, taken)):
+        for r in part:
+            sums[r["source"]] += len(r["text"].split())
+    longest = max(len(t.split()) for t in said.values())
+    want = targets(dict(size))
+    assert all(r["text"] == said[r["doc_id"]] for r in mixing) and all(want[s] - longest < taken[s] <= want[s] for s in size)
+    assert max(Counter(r["doc_id"] for r in mixing).values()) <= 2
+    library = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    ids = sorted((r["doc_id"], library.encode(r["text"], add_special_tokens=False).ids) for r in mixing)
+    assert sorted((r["doc_id"], list(r["ids"])) for r in tokens) == ids and all(r["n_tokens"] == len(r["ids"]) for r in tokens)

@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tessera.llm.language import FAMILY_OF
 from tessera.llm.stages import language_stage
 
@@ -23,3 +24,16 @@ def test_gibberish_goes_and_short_clean_texts_stay_for_few_and_many_languages(sp
         kept = {r["doc_id"] for r in language_stage(spark, docs, "").select(F.col("doc_id")).collect()}
         assert not kept & {i for i, *_ in junk}, len(codes)
         assert {i for i, *_ in rows + short} <= kept, len(codes)
+
+
+def test_stages_on_odd_and_on_no_documents(spark, odd_docs, no_docs):
+    for name, stage in corpus_pipeline.STAGES:
+        kept, none = stage(spark, odd_docs, ""), stage(spark, no_docs, "")
+        assert none.count() == 0
+        if name == "tokens":
+            assert kept.columns == none.columns == ["doc_id", "n_tokens", "ids"] and kept.count() == odd_docs.count()
+        else:
+            assert kept.columns == none.columns == odd_docs.columns
+            assert {str(r) for r in kept.collect()} <= {str(r) for r in odd_docs.collect()}
+            if name == "dedup":
+                assert kept.count() == 7  # of 2, 3 and 4 one, of 6, 7 and 7 one
