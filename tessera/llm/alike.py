@@ -9,13 +9,17 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm.common import discard, give_back, pieces, written
 from tessera.llm.components import components
 
 #: Shingles are counted in 2 ** SKETCH_BITS counters in each task, whatever the number of texts.
-SKETCH_BITS = 20
+SKETCH_BITS = 23
+#: Nodes that are the smallest or the greatest at a shingle, those that share most of a set's rarest shingles, that it is
+#: compared with first.
+HUBS = 8
 #: A shingle that more texts meet at is searched by size of their sets, and between groups only.
 CROWD = 32
 #: Ratio of the sizes that fall together there.
@@ -75,7 +79,7 @@ def describe(texts: DataFrame, fingerprint: Callable[[str | None], int] = lambda
             bits = pa.ListArray.from_arrays(pa.array(np.arange(0, width * len(sets) + 1, width, dtype=np.int32)), pa.array(np.concatenate([signature(g) for g in sets])))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _longs([node_of(g) for g in sets]), fps, pa.array(map(len, sets), type=pa.int32()), bits, none.cast(pa.int32()), none.cast(pa.int64())], names=names)
         usual = sums.mean()
-        at = np.flatnonzero(sums > usual + 4 * usual**0.5 + 1).astype(np.int32)
+        at = np.flatnonzero(sums > usual + 4 * usual**0.5 + 0.5).astype(np.int32)
         empty = pa.nulls(len(at), pa.int64())
         yield pa.RecordBatch.from_arrays([empty, empty, empty, empty, empty.cast(pa.int32()), pa.nulls(len(at), pa.list_(pa.int64())), pa.array(at), pa.array(sums[at].astype(np.int64))], names=names)
         del sums
@@ -98,7 +102,7 @@ def levels(known: DataFrame) -> np.ndarray:
     """A level from 0 to 255 for each counter of shingles: the more texts have them, the higher. It only orders shingles, so
     that counters which many shingles share do no harm but to speed."""
     level = F.least(F.floor(F.log2("n") * 4).cast("int") + 1, F.lit(255))
-    found = known.where("at is not null").groupBy("at").agg(F.sum("n").alias("n")).select("at", level.alias("level")).toArrow()  # up to 2 ** SKETCH_BITS
+    found = known.where("at is not null").groupBy("at").agg(F.sum("n").alias("n")).where("n >= 8").select("at", level.alias("level")).toArrow()  # up to 2 ** SKETCH_BITS
     out = np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
     out[found["at"].to_numpy()] = found["level"].to_numpy()
     return out
@@ -182,7 +186,7 @@ def alike_links(texts: DataFrame, known: DataFrame, least: float, crowd: int = C
     others. No pair is left out, however many sets meet.
 
     Two sets alike to `least` have one of their rarest shingles in common, in an order that all share. First each set is
-    compared with the smallest node at each of its shingles, and with those with which it is `proposed` (a, b), as by
+    compared with the smallest and the greatest nodes at its shingles, HUBS of them, and with those with which it is `proposed` (a, b), as by
     fingerprints; what is alike makes groups, so that a large group costs about one comparison for each set. Then sets of
     different groups that meet are compared, all of them. A pair is left out of a comparison at a shingle only where its
     place leaves too few shingles behind it for the likeness: if it is the first that both have in common, they can't be
@@ -195,15 +199,17 @@ def alike_links(texts: DataFrame, known: DataFrame, least: float, crowd: int = C
     ratio = least / (1 + least)
     tokens = rarest(texts, known, least)
     met = tokens.groupBy("token").agg(F.count("*").alias("n"), F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last")
-    met = written(tokens.join(met.drop("last"), "token"), "alike-met")
+    met = written(tokens.join(met, "token"), "alike-met")
 
-    star = met.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    star = met.select(F.explode(F.array("hub", "last")).alias("a"), F.col("node").alias("b")).where("a <> b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    closest = W.partitionBy("b").orderBy(F.desc("shared"), "a")  # as many as a set has shingles, at most
+    star = star.withColumn("_n", F.row_number().over(closest)).where(F.col("_n") <= HUBS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     if proposed is not None:
         star = star.union(proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
     star = may_share(star, firsts, least)
     linked = share_enough(star, texts, firsts, least)
     groups = components(linked).toDF("node", "group")
-    known = met.where("n > 2").drop("hub").distinct().join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
+    known = met.where("n > 2").drop("hub", "last").distinct().join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
 
     # the larger of two sets probes the sizes that the smaller one can have; `rest` of both must reach what they need
     step = lambda size: F.floor(F.log(size) / float(np.log(STEP))).cast("int")
